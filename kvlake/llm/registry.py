@@ -1,13 +1,15 @@
 """Queries and SQL of the corpus operators."""
 
-from kvlake.llm import line_dedup, mixing
+from kvlake.llm import decontaminate, line_dedup, mixing
 
 QUERIES = {
     "op2_mix_sources": mixing.op2_mix_sources,
+    "op5_decontaminate": decontaminate.op5_decontaminate,
     "op6_line_dedup": line_dedup.op6_line_dedup,
 }
 
 ORACLES = {
     "op2_mix_sources": mixing.OP2_SQL,
+    "op5_decontaminate": decontaminate.OP5_SQL,
     "op6_line_dedup": line_dedup.OP6_SQL,
 }
