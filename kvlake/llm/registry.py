@@ -1,16 +1,18 @@
 """Queries and SQL of the corpus operators."""
 
-from kvlake.llm import decontaminate, line_dedup, media, mixing
+from kvlake.llm import decontaminate, line_dedup, media, mixing, near_dedup
 
 QUERIES = {
     "op2_mix_sources": mixing.op2_mix_sources,
     "op5_decontaminate": decontaminate.op5_decontaminate,
     "op6_line_dedup": line_dedup.op6_line_dedup,
     "op8_media_columns": media.op8_media_columns,
+    "op9_near_dedup": near_dedup.op9_near_dedup,
 }
 
 ORACLES = {
     "op2_mix_sources": mixing.OP2_SQL,
     "op5_decontaminate": decontaminate.OP5_SQL,
     "op6_line_dedup": line_dedup.OP6_SQL,
+    "op9_near_dedup": near_dedup.OP9_SQL,
 }
