@@ -1,11 +1,12 @@
 """Queries and SQL of the corpus operators."""
 
-from kvlake.llm import decontaminate, line_dedup, media, mixing, near_dedup
+from kvlake.llm import decontaminate, line_dedup, lm, media, mixing, near_dedup
 
 QUERIES = {
     "op2_mix_sources": mixing.op2_mix_sources,
     "op5_decontaminate": decontaminate.op5_decontaminate,
     "op6_line_dedup": line_dedup.op6_line_dedup,
+    "op7_lm_scoring": lm.op7_lm_scoring,
     "op8_media_columns": media.op8_media_columns,
     "op9_near_dedup": near_dedup.op9_near_dedup,
 }
