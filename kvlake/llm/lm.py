@@ -131,7 +131,7 @@ def _merge(path: str, often: np.ndarray, words_n: int):
         for p in range(words_n):
             own = np.flatnonzero(part == p)
             rows.append((p, w[own].tobytes(), _packed(t[own]), _packed(contexts[own])))
-        counts = np.array([(times == k).sum() for k in (1, 2, 3, 4)], np.int64)
+        counts = np.array([bucket, *[(times == k).sum() for k in (1, 2, 3, 4)]], np.int64)
         rows.append((-1, c[hot].tobytes(), stats[hot].astype(np.int64).tobytes(), counts.tobytes()))
         return pa.table([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), [pa.int64(), *[pa.binary()] * 3], strict=True)], names=["part", "word", "times", "contexts"])
 
@@ -158,12 +158,13 @@ def _merge_words(path: str):
         if part < 0:
             keys = np.concatenate([np.frombuffer(x, np.uint64) for x in group.column("word").to_pylist()])
             stats = np.concatenate([np.frombuffer(x, np.int64).reshape(-1, 4) for x in group.column("times").to_pylist()])
-            counts = sum(np.frombuffer(x, np.int64) for x in group.column("contexts").to_pylist())
+            counts = np.stack([np.frombuffer(x, np.int64) for x in group.column("contexts").to_pylist()])
+            figures = [*counts[:, 1:].sum(axis=0).tolist(), *counts[:, 0].tolist()]
             unique, inverse = np.unique(keys, return_inverse=True)
             total = np.zeros((len(unique), 4), np.int64)
             np.add.at(total, inverse, stats)
             rows = [(int(k.view(np.int64)), s.tolist()) for k, s in zip(unique, total, strict=True)]
-            return pa.table([pa.array([-1] + [-2] * len(rows)), pa.array([0] + [r[0] for r in rows]), pa.array([counts.tolist()] + [r[1] for r in rows], pa.list_(pa.int64()))], names=names)
+            return pa.table([pa.array([-1] + [-2] * len(rows)), pa.array([0] + [r[0] for r in rows]), pa.array([figures] + [r[1] for r in rows], pa.list_(pa.int64()))], names=names)
         raw = group.column("word").to_pylist()
         word = np.frombuffer(b"".join(raw), np.uint64)
         times, contexts = (np.concatenate([_unpacked(x, len(w) // 8) for x, w in zip(group.column(c).to_pylist(), raw, strict=True)]) for c in ("times", "contexts"))
@@ -189,8 +190,8 @@ def discounts(n1: int, n2: int, n3: int, n4: int) -> np.ndarray:
 class Model:
     """Paths and figures of a trained model; small whatever the corpus. Arrays are mapped where they are used."""
 
-    def __init__(self, path: str, buckets: int, parts: int, often: dict[int, list[int]], counts: list[int], types: int, total: int, pairs: int, word_counts: list[int]):
-        self.path, self.buckets, self.parts, self.types, self.total, self.pairs = path, buckets, parts, types, total, pairs
+    def __init__(self, path: str, buckets: int, parts: int, often: dict[int, list[int]], counts: list[int], full: set[int], types: int, total: int, pairs: int, word_counts: list[int]):
+        self.path, self.buckets, self.parts, self.full, self.types, self.total, self.pairs = path, buckets, parts, full, types, total, pairs
         self.often = np.array(sorted(often), np.uint64)
         self.often_stat = np.array([often[k] for k in sorted(often)], np.int64).reshape(-1, 4)
         self.d, self.d_word = discounts(*counts), discounts(*word_counts)
@@ -212,6 +213,8 @@ class Model:
         at = runs(place[order])
         for a, z in zip(at.tolist(), np.append(at[1:], len(order)).tolist(), strict=True):
             n = int(place[order[a]])
+            if kind != "word" and n not in self.full:
+                continue
             keys = self._get(f"{kind}-{n}.key", np.uint64)
             if len(keys):
                 own = order[a:z]
@@ -234,7 +237,7 @@ class Model:
         w, back = np.unique(word, return_inverse=True)
         count, contexts = self.words(w)
         base = np.log10((count + 1) / (self.total + self.types + 1))
-        p = self.word_rest / (self.types + 1) + (np.maximum(contexts - self.d_word[np.minimum(contexts, 3)], 0) / self.pairs if self.pairs else 0)
+        p = self.word_rest / (self.types + 1) + np.maximum(contexts - self.d_word[np.minimum(contexts, 3)], 0) / max(self.pairs, 1)
         p = p[back]
         if self.total:
             c, c_back = np.unique(context, return_inverse=True)
@@ -293,7 +296,7 @@ def train(docs: DataFrame, text_col: str = "text", path: str | None = None) -> M
     hot = {int(np.int64(r.context).view(np.uint64)): r.figures for r in figures if r.part == -2}
     counts = next((r.figures for r in figures if r.part == -1), [0] * 4)
     total = np.array([r.figures for r in figures if r.part >= 0], np.int64).reshape(-1, 7).sum(axis=0).tolist()
-    return Model(path, buckets, parts, hot, counts, total[0], total[1], total[2], total[3:])
+    return Model(path, buckets, parts, hot, counts[:4], set(counts[4:]), total[0], total[1], total[2], total[3:])
 
 
 def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", extra: dict[str, Column] | None = None) -> DataFrame:
