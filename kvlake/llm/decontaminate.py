@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kvlake.llm import textnum
-from kvlake.llm.common import arrow_map, table, written
+from kvlake.llm.common import arrow_map, fresh, table, written
 from kvlake.llm.fm_index import FMIndex
 
 WINDOW, SHARD_BYTES, BLOCK_BYTES = 10, 6 << 20, 16 << 20
@@ -153,9 +153,7 @@ def searched(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item
     passages to remove). text: ``keep``, ``drop`` (leave the column out) or ``clean`` (cut the spans out, again until
     nothing is found; then hits tells of the text as it was).
     """
-    name = "hits"
-    while name in docs.columns:
-        name += "_"
+    name = fresh(docs, "hits")
     kind = "struct<n_words:bigint,n_hit:bigint,items:array<string>,spans:array<struct<start:int,stop:int>>>"
     at = docs.columns.index(text_col)
     sc = docs.sparkSession.sparkContext
