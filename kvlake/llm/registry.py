@@ -1,14 +1,16 @@
 """Queries and SQL of the corpus operators."""
 
-from kvlake.llm import decontaminate, line_dedup, lm, media, mixing, near_dedup
+from kvlake.llm import decontaminate, lang_id, line_dedup, lm, media, mixing, near_dedup, quality
 
 QUERIES = {
+    "op1_language_id": lang_id.op1_language_id,
     "op2_mix_sources": mixing.op2_mix_sources,
     "op5_decontaminate": decontaminate.op5_decontaminate,
     "op6_line_dedup": line_dedup.op6_line_dedup,
     "op7_lm_scoring": lm.op7_lm_scoring,
     "op8_media_columns": media.op8_media_columns,
     "op9_near_dedup": near_dedup.op9_near_dedup,
+    "op10_quality": quality.op10_quality,
 }
 
 ORACLES = {
