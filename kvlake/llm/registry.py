@@ -1,10 +1,11 @@
 """Queries and SQL of the corpus operators."""
 
-from kvlake.llm import decontaminate, lang_id, line_dedup, lm, media, mixing, near_dedup, quality, toxicity
+from kvlake.llm import decontaminate, html_text, lang_id, line_dedup, lm, media, mixing, near_dedup, quality, toxicity
 
 QUERIES = {
     "op1_language_id": lang_id.op1_language_id,
     "op2_mix_sources": mixing.op2_mix_sources,
+    "op3_html_extraction": html_text.op3_html_extraction,
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_decontaminate": decontaminate.op5_decontaminate,
     "op6_line_dedup": line_dedup.op6_line_dedup,
