@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from kvlake.llm import textnum
 from kvlake.llm.common import arrow_map, fold, table
-from kvlake.llm.sampling import per_class
+from kvlake.llm.sampling import labelled
 
 PER_CLASS, BINS, PAIR_BINS, PAIRS, ROUNDS, RATE = 6000, 64, 16, 6, 60, 0.15
 FEATURES = ["log_words", "word_length", "symbols", "capitals", "digits", "punctuation", "exclamations", "distinct", "most_frequent", "short_words", "line_breaks", "pure_words"]
@@ -161,9 +161,8 @@ def _rows(batch: pa.RecordBatch) -> pa.RecordBatch:
 
 
 def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", most: int = PER_CLASS) -> Gam:
-    """Learn from ``most`` labelled rows of each class at most. Labels of ids that repeat count each."""
-    known = per_class(labels.select(F.col(id_col).alias("label_id"), F.col(label_col).cast("int").alias("label")).where("label in (0, 1)"), "label", most, F.col("label_id"))
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(known, F.col("id") == F.col("label_id")).select("text", "label")
+    """Learn from ``most`` labelled rows of each class at most. Labels that repeat count once."""
+    rows, _ = labelled(docs, labels, label_col, id_col, text_col, most)
     found = arrow_map(rows, _rows, "label int, x array<double>", 0).collect()
     found.sort(key=lambda r: (r.label, r.x))
     x = np.array([r.x for r in found]) if found else np.zeros((0, len(FEATURES)))

@@ -9,10 +9,23 @@ from pyspark.sql import functions as F
 def per_class(rows: DataFrame, label: str, most: int, by: Column) -> DataFrame:
     """About ``most`` rows of each class at most, chosen by the hash of ``by``, so that reruns agree; classes below ``most`` come whole.
 
-    The classes' counts come to the driver: one row a class.
+    The classes' counts come to the driver: one row a class. Rows that repeat fall in or out together, so ``rows`` should
+    be distinct where the bound matters.
     """
     counts = {r[0]: r[1] for r in rows.groupBy(label).count().collect() if r[0] is not None}
     share = F.lit(0.0)
     for value, n in counts.items():
         share = F.when(F.col(label) == F.lit(value), F.lit(min(1.0, most / n))).otherwise(share)
     return rows.where(F.pmod(F.xxhash64(F.lit("sample"), by), F.lit(1 << 20)) < share * (1 << 20))
+
+
+def labelled(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str, text_col: str, most: int) -> tuple[DataFrame, dict[int, int]]:
+    """text and label of about ``most`` labelled documents of each class 0 and 1 at most, and the classes' counts in ``labels``.
+
+    The sample of ids is broadcast: its size is bounded by ``most``, whatever the size of either table.
+    """
+    labels = labels.select(F.col(id_col).alias("label_id"), F.col(label_col).cast("int").alias("label")).where("label in (0, 1) and label_id is not null").distinct()
+    counts = {r[0]: r[1] for r in labels.groupBy("label").count().collect()}
+    known = F.broadcast(per_class(labels, "label", most, F.col("label_id")))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(known, F.col("id") == F.col("label_id")).select("text", "label")
+    return rows, counts
