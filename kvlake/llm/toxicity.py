@@ -21,8 +21,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kvlake.llm import crf, textnum
-from kvlake.llm.common import arrow_map, fold, fresh, table
-from kvlake.llm.sampling import per_class
+from kvlake.llm.common import arrow_map, fold, fresh, table, written
+from kvlake.llm.sampling import labelled
 
 PER_CLASS, FIELD_TEXTS, MOST_FEATURES = 3000, 600, 20000
 PREFIXES = (3, 4, 5, 6)
@@ -134,11 +134,9 @@ def _tokens(keys: np.ndarray):
 
 def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", most: int = PER_CLASS) -> Tagger:
     """Learn from ``most`` labelled rows of each class at most."""
-    labels = labels.select(F.col(id_col).alias("label_id"), F.col(label_col).cast("int").alias("label")).where("label in (0, 1)")
-    given = {r.label: r["count"] for r in labels.groupBy("label").count().collect()}
+    rows, given = labelled(docs, labels, label_col, id_col, text_col, most)
+    rows = written(rows, "toxic-sample")
     all1, all0 = given.get(1, 0), given.get(0, 0)
-    known = per_class(labels, "label", most, F.col("label_id"))
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(known, F.col("id") == F.col("label_id")).select("text", "label")
     size = {r.label: r["count"] for r in rows.groupBy("label").count().collect()}
     n1, n0 = size.get(1, 0), size.get(0, 0)
     nothing = np.zeros(0, np.uint64)
@@ -185,9 +183,9 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col:
         p = crf.marginals(crf.potentials(e, np.unique(first[:-1][np.diff(first) > 0]), start, move))[0]
         x.append(sums(p, first))
         labels_of += [texts[k].label for k in part]
-    labelled = np.array(labels_of, float)
+    known = np.array(labels_of, float)
     # rows count as in the table they are a sample of
-    tagger.link = logistic(np.concatenate(x), labelled, np.where(labelled > 0, all1 / n1, all0 / n0))
+    tagger.link = logistic(np.concatenate(x), known, np.where(known > 0, all1 / n1, all0 / n0))
     return tagger
 
 
