@@ -355,11 +355,11 @@ class Store:
         raise ConcurrentCommit(f"after {TRIES} tries")
 
     def compact_if_needed(self) -> int:
-        """Merge the oldest files of each level that is full into the next one, until none is; the last level never is."""
+        """Merge the oldest runs of each level that is full into the next one, until none is; the last level never is. A run is what one commit wrote."""
         done = 0
         while self.path:
             m, o = self._manifest(), self.options
-            level = next((n for n in range(o.level_count - 1) if len(m.level(n)) >= o.level_limit(n)), None)
+            level = next((n for n in range(o.level_count - 1) if len(m.runs(n)) >= o.level_limit(n)), None)
             if level is None:
                 return done
             self.compact(level)
@@ -367,12 +367,12 @@ class Store:
         return done
 
     def compact(self, level: int | None = None) -> None:
-        """Merge the oldest files of a level into the next, or all files of the store into the last one (``level`` None).
+        """Merge the oldest runs of a level into the next, or all files of the store into the last one (``level`` None).
 
         Hidden newest versions become tombstones; in a merge of all files they go (the buffer holds newer mutations alone).
         """
         m, o = self._manifest(), self.options
-        old = list(m.files) if level is None else m.level(level)[: o.level_limit(level)]
+        old = list(m.files) if level is None else [f for run in m.runs(level)[: o.level_limit(level)] for f in run]
         if not old:
             return
         to = o.level_count - 1 if level is None else min(level + 1, o.level_count - 1)

@@ -6,7 +6,7 @@ import os
 import pytest
 
 import __spark_entry__ as entry
-from kvlake.plans import catalog
+from kvlake.plans import catalog, stores
 
 SF = "/root/testdata/sf0.001"
 needs_tables = pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
@@ -23,14 +23,14 @@ def test_entry(spark):
 
 
 @needs_tables
-@pytest.mark.parametrize("name", sorted(catalog.ORACLES))
+@pytest.mark.parametrize("name", sorted({**catalog.ORACLES, **stores.ORACLES}))
 def test_same_as_sql(spark, name):
     duckdb = pytest.importorskip("duckdb")
     con = duckdb.connect()
     for t in TABLES:
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
-    df = catalog.QUERIES[name](spark, SF)
-    sql = con.execute(catalog.ORACLES[name])
+    df = {**catalog.QUERIES, **stores.QUERIES}[name](spark, SF)
+    sql = con.execute({**catalog.ORACLES, **stores.ORACLES}[name])
     assert rows(df.columns, [tuple(r) for r in df.collect()]) == rows([d[0] for d in sql.description], sql.fetchall())
 
 
@@ -40,7 +40,7 @@ def test_registry_names():
 
 def test_without_the_corpus_operators(monkeypatch):
     monkeypatch.setattr(entry, "find_spec", lambda name: None)
-    assert set(entry.queries()) == set(catalog.QUERIES) and set(entry.oracle_sql()) == set(catalog.ORACLES)
+    assert set(entry.queries()) == {*catalog.QUERIES, *stores.QUERIES} and set(entry.oracle_sql()) == {*catalog.ORACLES, *stores.ORACLES}
 
 
 def test_nothing_else_imports_the_corpus_operators():
