@@ -23,16 +23,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from kvlake.llm.common import table, written
+from kvlake.llm.common import fresh, table, written
 
 MIN_WORDS = 10
 
 
+def words_in(line: Column) -> Column:
+    """The number of words of a line: single spaces and one."""
+    return F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) + 1
+
+
 def lines_of(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
     """id, no, norm, n: the lines that are long enough to be compared."""
     x = docs.select(F.col(id_col).alias("id"), F.posexplode(F.split(F.col(text_col), "\n")).alias("no", "line"))
     x = x.select("id", "no", F.lower(F.trim("line")).alias("norm"))
-    return x.withColumn("n", F.length("norm") - F.length(F.replace("norm", F.lit(" "), F.lit(""))) + 1).where(F.col("n") >= min_words)
+    return x.withColumn("n", words_in(F.col("norm"))).where(F.col("n") >= min_words)
 
 
 def half_keys(norm: Column, n: Column) -> Column:
@@ -52,13 +57,14 @@ def at_most_one_edit(a: Column, b: Column) -> Column:
     return (F.abs(n - m) <= 1) & (alike(a, b) + alike(F.reverse(a), F.reverse(b)) >= F.greatest(n, m) - 1)
 
 
-def near_removals(lines: DataFrame, distinct: DataFrame) -> DataFrame:
+def near_removals(docs: DataFrame, distinct: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
     """at, by: each distinct line with an earlier one that is one edit away, and the earliest such line found."""
     # lines that share a half with another line, and their texts
     halves = distinct.select("at", F.explode(F.array_distinct("halves")).alias("half"))
     shared = halves.groupBy("half").count().where("count > 1").select("half")
-    alive = halves.join(shared, "half", "left_semi").select("at").distinct()
-    texts = written(alive.join(lines.select(F.struct("id", "no").alias("at"), "norm"), "at").distinct(), "lines-alive")
+    alive = halves.join(shared, "half", "left_semi").groupBy(F.col("at.id").alias("alive_id")).agg(F.collect_set("at.no").alias("nos"))
+    texts = docs.join(alive, F.col(id_col).eqNullSafe(F.col("alive_id"))).select(F.col("alive_id").alias("id"), F.split(F.col(text_col), "\n").alias("parts"), F.explode("nos").alias("no"))
+    texts = written(texts.select(F.struct("id", "no").alias("at"), F.lower(F.trim(F.get("parts", "no"))).alias("norm")).where(words_in(F.col("norm")) >= min_words).distinct(), "lines-alive")
 
     # the key of each deletion (gap: the word left out) and of the whole line (gap -1), from running XORs over the line's words
     w = texts.select("at", F.xxhash64("norm").alias("h"), F.posexplode(F.split("norm", " ")).alias("gap", "w"))
@@ -90,30 +96,30 @@ def line_removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """id, no, by: each line to remove (its place in the text split at line feeds, from 0) and the place (id, no) of an earlier line it repeats."""
     lines = lines_of(docs, id_col, text_col, min_words)
     h1, h2 = F.xxhash64("norm").alias("h1"), F.xxhash64(F.lit(1), "norm").alias("h2")
-    keyed = lines.select(h1, h2, F.struct("id", "no").alias("at"), half_keys(F.col("norm"), F.col("n")).alias("halves"))
+    keyed = written(lines.select(h1, h2, F.struct("id", "no").alias("at"), half_keys(F.col("norm"), F.col("n")).alias("halves")), "lines-all")
     distinct = written(keyed.groupBy("h1", "h2").agg(F.min("at").alias("at"), F.count("*").alias("times"), F.first("halves").alias("halves")), "lines-distinct")
-    near = written(near_removals(lines, distinct), "lines-near")
+    near = written(near_removals(docs.select(id_col, text_col), distinct, id_col, text_col, min_words), "lines-near")
     settled = distinct.join(near, "at", "left").where("times > 1 or by is not null").select("h1", "h2", F.col("at").alias("first"), "by")
-    here = F.struct("id", "no")
-    out = lines.select("id", "no", h1, h2).join(settled, ["h1", "h2"])
-    return out.select("id", "no", F.when(here != F.col("first"), F.col("first")).otherwise(F.col("by")).alias("by")).where("by is not null")
+    out = keyed.select("at", "h1", "h2").join(settled, ["h1", "h2"])
+    return out.select("at.id", "at.no", F.when(F.col("at") != F.col("first"), F.col("first")).otherwise(F.col("by")).alias("by")).where("by is not null")
 
 
-def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """``docs`` without the removed lines, with ``removed_lines`` (array of their numbers). A text without any line left is ''."""
-    gone = line_removals(docs, id_col, text_col, min_words).groupBy("id").agg(F.array_sort(F.collect_set("no")).alias("removed_lines"))
-    x = docs.join(gone.withColumnRenamed("id", "removed_id"), F.col(id_col).eqNullSafe(F.col("removed_id")), "left").drop("removed_id")
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> tuple[DataFrame, str]:
+    """``docs`` without the removed lines, and the name of a new last column with their numbers (``removed_lines``, lengthened where docs has one). A text without any line left is ''."""
+    name, key = fresh(docs, "removed_lines"), fresh(docs, "removed_id")
+    gone = line_removals(docs, id_col, text_col, min_words).groupBy(F.col("id").alias(key)).agg(F.array_sort(F.collect_set("no")).alias(name))
+    x = docs.join(gone, docs[id_col].eqNullSafe(gone[key]), "left")
     parts = F.split(F.col(text_col), "\n")
-    left = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("removed_lines"))
-    text = F.when(F.col("removed_lines").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(left, lambda i: F.get(parts, i)), "\n"))
+    left = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col(name))
+    text = F.when(F.col(name).isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(left, lambda i: F.get(parts, i)), "\n"))
     none = F.array().cast("array<int>")
-    return x.select(*[(text.alias(c) if c == text_col else F.col(c)) for c in docs.columns], F.coalesce("removed_lines", none).alias("removed_lines"))
+    return x.select(*[(text.alias(c) if c == text_col else F.col(f"`{c}`")) for c in docs.columns], F.coalesce(name, none).alias(name)), name
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: n_removed, removed_lines (comma-joined numbers from 0), sha256 of the text that stays."""
-    out = deduplicated(table(spark, sf_dir, "documents"))
-    return out.select("doc_id", F.size("removed_lines").cast("long").alias("n_removed"), F.array_join(F.col("removed_lines").cast("array<string>"), ",").alias("removed_lines"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+    out, gone = deduplicated(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", F.size(gone).cast("long").alias("n_removed"), F.array_join(F.col(gone).cast("array<string>"), ",").alias("removed_lines"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
 
 
 OP6_SQL = r"""
