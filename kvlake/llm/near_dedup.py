@@ -1,16 +1,18 @@
 """Near-duplicate documents by HyperMinHash.
 
 A document's set of word shingles is summarised by ``BANDS * ROWS`` registers. A shingle's hash picks a register,
-which keeps the smallest second hash as its count of leading zeros (6 bits) and the mantissa bits that follow
-(10 bits); empty registers take over another's by a fixed sequence of probes, so short texts can be banded too.
+which keeps the smallest second hash as its count of leading zeros (4 bits) and the mantissa bits that follow
+(4 bits); empty registers take over another's by a fixed sequence of probes, so short texts can be banded too.
 Documents that agree in a whole band are candidates. The share of equal registers, corrected for chance equality
-of compressed values, estimates Jaccard similarity; candidates with a fair estimate are verified on full sets.
+of compressed values, estimates Jaccard similarity; candidates with a fair estimate are verified on full sets. Documents that
+share a bucket get a second, longer row of registers (``SKETCH``) for that estimate.
 
 With 40 bands of 5 registers a link at similarity 0.8 is missed with probability 1.3e-7, one above it with less.
 
-Groups are never expanded into pairs. Equal sets become one node. Each node is first verified against one leader of
-its buckets (the one it shares most with); only buckets whose nodes are still in different components after that are
-looked at node by node, in blocks of bounded size, and pairs within a component are left out.
+Groups are never expanded into pairs. Equal sets become one node. A bucket's leader is the node that shares most buckets
+with others (in a group of copies that is the text they stem from). Each node is first verified against one leader, the
+one it meets most often; only buckets whose nodes are still in different components after that are looked at node by
+node, in blocks of bounded size, and pairs within a component are left out.
 
 Defined results: null or empty texts have no set and are linked with nothing; texts of fewer words than a shingle are
 one shingle; rows that repeat a doc_id are told apart by their texts, and links of either text count for the id; a
@@ -30,10 +32,11 @@ from kvlake.llm.common import arrow_map, table, written
 from kvlake.llm.components import components
 
 SHINGLE, PERCENT = 5, 80
-BANDS, ROWS, MANTISSA = 40, 5, 10
+BANDS, ROWS, MANTISSA = 40, 5, 4
 REGISTERS = BANDS * ROWS
-LEAST_ESTIMATE = 0.58  # 0.8 less six standard deviations of an estimate by 200 registers
-BLOCK = 256
+SKETCH = 640
+LEAST_ESTIMATE = 0.71  # 0.8 less 5.7 standard deviations of an estimate by 640 registers
+BLOCK, SMALL_ROWS = 256, 2048
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -57,25 +60,25 @@ def shingle_sets(texts: pa.Array, size: int) -> list[np.ndarray]:
     return out
 
 
-def registers(sets: list[np.ndarray]) -> np.ndarray:
-    """HyperMinHash registers, one row a set; a set without shingles has a row of zeros."""
+def registers(sets: list[np.ndarray], size: int = REGISTERS) -> np.ndarray:
+    """``size`` HyperMinHash registers, one row a set; a set without shingles has a row of zeros."""
     n = len(sets)
-    least = np.full(n * REGISTERS, _EMPTY)
+    least = np.full(n * size, _EMPTY)
     if n and sum(map(len, sets)):
         x = np.concatenate(sets)
         row = np.repeat(np.arange(n), [len(s) for s in sets])
-        at = ((textnum.mix(x ^ np.uint64(0x5851F42D4C957F2D)) >> np.uint64(32)) * np.uint64(REGISTERS) >> np.uint64(32)).astype(np.int64)
-        np.minimum.at(least, row * REGISTERS + at, textnum.mix(x ^ np.uint64(0x14057B7EF767814F)) >> np.uint64(1))
+        at = ((textnum.mix(x ^ np.uint64(0x5851F42D4C957F2D + size)) >> np.uint64(32)) * np.uint64(size) >> np.uint64(32)).astype(np.int64)
+        np.minimum.at(least, row * size + at, textnum.mix(x ^ np.uint64(0x14057B7EF767814F)) >> np.uint64(1))
     frac, exp = np.frexp((least >> np.uint64(10)).astype(np.float64))  # 53 significant bits
-    zeros = np.clip(53 - exp, 0, 63)
-    code = (zeros << MANTISSA | np.clip((frac * 2 - 1) * (1 << MANTISSA), 0, (1 << MANTISSA) - 1).astype(np.int64)).astype(np.uint16).reshape(n, REGISTERS)
-    empty = (least == _EMPTY).reshape(n, REGISTERS)
+    zeros = np.clip(53 - exp, 0, 15)
+    code = (zeros << MANTISSA | np.clip((frac * 2 - 1) * (1 << MANTISSA), 0, (1 << MANTISSA) - 1).astype(np.int64)).astype(np.uint8).reshape(n, size)
+    empty = (least == _EMPTY).reshape(n, size)
     some = ~empty.all(axis=1)
     code[~some] = 0
     r, c = np.nonzero(empty & some[:, None])
     probe, filled = np.uint64(0), code.copy()
     while len(r):
-        to = (textnum.mix(c.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + probe) % np.uint64(REGISTERS)).astype(np.int64)
+        to = (textnum.mix(c.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + probe) % np.uint64(size)).astype(np.int64)
         hit = ~empty[r, to]
         filled[r[hit], c[hit]] = code[r[hit], to[hit]]
         r, c = r[~hit], c[~hit]
@@ -110,15 +113,29 @@ def _summaries(size: int):
 
 
 def _keys(batch: pa.RecordBatch) -> pa.RecordBatch:
-    code = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint16).reshape(-1, REGISTERS)
+    code = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(-1, REGISTERS)
     return pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), BANDS)), pa.array(band_keys(code).ravel())], ["node", "key"])
 
 
-def _verifier(size: int, percent: int):
+def _sketches(size: int):
+    def sketch(batch: pa.RecordBatch) -> pa.RecordBatch:
+        code = registers(shingle_sets(batch.column(1), size), SKETCH)
+        return pa.RecordBatch.from_arrays([*batch.columns, pa.array([x.tobytes() for x in code], pa.binary())], ["node", "text", "code", "sketch"])
+
+    return sketch
+
+
+def _rows(column, width: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column), np.uint8).reshape(-1, width)
+
+
+def _verifier(size: int, percent: int, estimated: bool):
     def verify(batch: pa.RecordBatch) -> pa.RecordBatch:
-        a, b, ta, tb, ca, cb = (batch.column(k) for k in range(6))
-        codes = [np.frombuffer(b"".join(c.to_pylist()), np.uint16).reshape(-1, REGISTERS) for c in (ca, cb)]
-        fair = np.flatnonzero(estimate((codes[0] == codes[1]).mean(axis=1)) >= LEAST_ESTIMATE)
+        a, b, ta, tb = (batch.column(k) for k in range(4))
+        fair = np.arange(batch.num_rows)
+        if not estimated:
+            x, y = (_rows(batch.column(k).to_pylist(), SKETCH) for k in (4, 5))
+            fair = np.flatnonzero(estimate((x == y).mean(axis=1)) >= LEAST_ESTIMATE)
         take = pa.array(fair)
         left, right = shingle_sets(ta.take(take), size), shingle_sets(tb.take(take), size)
         good = []
@@ -134,34 +151,38 @@ def _verifier(size: int, percent: int):
     return verify
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of nodes whose sets are similar enough, by any text of either node."""
-    t = lambda s: texts.select(F.col("node").alias(s), F.col("text").alias("t" + s), F.col("code").alias("c" + s))
-    x = pairs.join(t("a"), "a").join(t("b"), "b").select("a", "b", "ta", "tb", "ca", "cb")
-    return arrow_map(x, _verifier(size, percent), "a bigint, b bigint", 2, 2 << 20).distinct()
-
-
-def _block_pairs(block: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of a block's two sides in different components with a fair estimate. A pair that meets in several bands counts in the first."""
-    side = block["side"].to_numpy()
-    same = block["ci"].iloc[0] == block["cj"].iloc[0]
-    key = block["key"].iloc[0]
-    parts = [block] * 2 if same else [block[side == 0], block[side == 1]]
-    code = [np.frombuffer(b"".join(p["code"]), np.uint16).reshape(-1, REGISTERS) for p in parts]
-    keys = [band_keys(c) for c in code]
-    node, comp = [p["node"].to_numpy() for p in parts], [p["comp"].to_numpy() for p in parts]
-    out = []
-    for i in range(len(parts[0])):
-        ok = comp[1] != comp[0][i]
-        if same:
-            ok[: i + 1] = False
-        j = np.flatnonzero(ok)
-        j = j[estimate((code[1][j] == code[0][i]).mean(axis=1)) >= LEAST_ESTIMATE]
-        if len(j):
-            meet = keys[1][j] == keys[0][i]
-            j = j[keys[0][i][meet.argmax(axis=1)] == key]
-            out.append(pd.DataFrame({"a": node[0][i], "b": node[1][j]}))
-    return pd.concat(out) if out else pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
+def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int, estimated: bool = False) -> DataFrame:
+    """The pairs (a, b) of nodes whose sets are similar enough, by any text of either node. ``estimated``: their estimates are known to be fair."""
+    more = () if estimated else ("sketch",)
+    t = lambda s: texts.select(F.col("node").alias(s), *[F.col(c).alias(c + s) for c in ("text", *more)])
+    x = pairs.join(t("a"), "a").join(t("b"), "b").select("a", "b", *[c + s for c in ("text", *more) for s in "ab"])
+    return arrow_map(x, _verifier(size, percent, estimated), "a bigint, b bigint", 2, 2 << 20).distinct()
+
+
+def _block_pairs(rows: pd.DataFrame) -> pd.DataFrame:
+    """Pairs of the two sides of a bucket's block, or of one side of each of some small buckets, that are in different
+    components and have a fair estimate. A pair that meets in several bands counts in the first."""
+    rows = rows.sort_values(["key", "node"], kind="stable")
+    side, key = rows["side"].to_numpy(), rows["key"].to_numpy()
+    node, comp = rows["node"].to_numpy(), rows["comp"].to_numpy()
+    sketch, bands = _rows(rows["sketch"], SKETCH), band_keys(_rows(rows["code"], REGISTERS))
+    two = rows["ci"].iloc[0] != rows["cj"].iloc[0]
+    heads = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for at, end in zip(heads.tolist(), np.append(heads[1:], len(key)).tolist(), strict=True):
+        own = np.arange(at, end)
+        others = own[side[own] == 1] if two else own
+        for i in own[side[own] == 0] if two else own:
+            j = others[comp[others] != comp[i]]
+            if not two:
+                j = j[j > i]
+            j = j[estimate((sketch[j] == sketch[i]).mean(axis=1)) >= LEAST_ESTIMATE] if len(j) else j
+            if len(j):
+                meet = bands[j] == bands[i]
+                j = j[bands[i][meet.argmax(axis=1)] == key[i]]
+                left.append(np.full(len(j), node[i]))
+                right.append(node[j])
+    return pd.DataFrame({"a": np.concatenate(left), "b": np.concatenate(right)})
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
@@ -171,27 +192,33 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", siz
     sets = written(sums.where("n > 0 and id is not null").groupBy("s1", "s2").agg(F.min("id").alias("node")), "near-sets")
     nodes = written(sums.where("n > 0").join(sets, ["s1", "s2"]).where("id = node").select("node", "code").distinct(), "near-nodes")
 
-    # buckets of more than one node, with their first node
+    # buckets of more than one node, led by the node that meets most others
     keys = arrow_map(nodes, _keys, "node bigint, key bigint", 1, 1 << 20)
-    shared = keys.groupBy("key").agg(F.min("node").alias("lead"), F.max("node").alias("other")).where("lead <> other").select("key", "lead")
+    shared = keys.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
     members = written(keys.join(shared, "key"), "near-members")
-    near = members.select("node").distinct()
-    texts = written(rows.join(near, rows.id == near.node, "left_semi").distinct().join(nodes, F.col("id") == F.col("node")).select("node", "text", "code"), "near-texts")
+    degree = written(members.groupBy("node").agg(F.sum(F.col("m") - 1).alias("degree")), "near-degrees")
+    leads = members.join(degree, "node").groupBy("key").agg(F.max(F.struct("degree", -F.col("node"))).alias("x")).select("key", (-F.col("x")["col2"]).alias("lead"))
+    near = degree.select(F.col("node").alias("near_node"))
+    texts = rows.join(near, rows.id == F.col("near_node"), "left_semi").distinct().join(nodes, F.col("id") == F.col("node")).select("node", "text", "code")
+    texts = written(arrow_map(texts, _sketches(size), "node bigint, text string, code binary, sketch binary", 1, 1 << 20), "near-texts")
 
     # one leader a node
-    best = members.where("node <> lead").groupBy("node", "lead").count().groupBy("node").agg(F.max(F.struct("count", -F.col("lead"))).alias("x"))
+    best = members.join(leads, "key").where("node <> lead").groupBy("node", "lead").count().groupBy("node").agg(F.max(F.struct("count", -F.col("lead"))).alias("x"))
     first = written(_verified(best.select(F.col("node").alias("a"), (-F.col("x")["col2"]).alias("b")), texts, size, percent), "near-links")
     comps = written(components(first), "near-comps")
 
     # buckets that still hold several components
-    placed = members.join(comps, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
-    open_keys = placed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("m")).where("low <> high")
-    still = placed.join(open_keys.select("key", "m"), "key").join(nodes, "node")
+    placed = members.join(comps, "node", "left").select("key", "node", "m", F.coalesce("comp", "node").alias("comp"))
+    open_keys = placed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key")
+    still = written(placed.join(open_keys, "key"), "near-open")
+    slots = still.count() // SMALL_ROWS + 1
     parts = F.ceil(F.col("m") / block).cast("int")
     still = still.withColumn("g", parts).withColumn("own", F.pmod(F.xxhash64("node"), F.col("g")).cast("int"))
-    dealt = still.withColumn("c", F.explode(F.sequence(F.lit(0), F.col("g") - 1))).select("key", "node", "comp", "code", F.least("own", "c").alias("ci"), F.greatest("own", "c").alias("cj"), (F.col("own") > F.col("c")).cast("int").alias("side"))
-    pairs = dealt.groupBy("key", "ci", "cj").applyInPandas(_block_pairs, "a bigint, b bigint").distinct()
-    more = written(_verified(written(pairs, "near-pairs"), texts, size, percent), "near-links")
+    still = still.withColumn("slot", F.when(F.col("g") > 1, F.col("key")).otherwise(F.pmod("key", F.lit(slots))))
+    dealt = still.join(texts.select("node", "code", "sketch"), "node").withColumn("c", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
+    dealt = dealt.select("g", "slot", "key", "node", "comp", "code", "sketch", F.least("own", "c").alias("ci"), F.greatest("own", "c").alias("cj"), (F.col("own") > F.col("c")).cast("int").alias("side"))
+    pairs = dealt.groupBy("g", "slot", "ci", "cj").applyInPandas(_block_pairs, "a bigint, b bigint").distinct()
+    more = written(_verified(written(pairs, "near-pairs"), texts, size, percent, estimated=True), "near-links")
     comps = written(components(first.unionByName(more)), "near-comps")
 
     out = sums.join(sets, ["s1", "s2"], "left").withColumn("node", F.when(F.col("n") > 0, F.col("node"))).join(comps, "node", "left")
