@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import os
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -88,6 +89,18 @@ def offsets(array: pa.Array):
     return raw[array.offset : array.offset + len(array) + 1].astype(np.int64)
 
 
+def importable(spark: SparkSession) -> None:
+    """Let Python workers on this machine import the package from where the driver has it, whatever its working folder.
+
+    On a cluster the package is shipped with ``--py-files``; the entry does no harm there.
+    """
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    env = getattr(spark.sparkContext, "environment", {})
+    paths = env.get("PYTHONPATH", "").split(os.pathsep)
+    if root not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([root, *filter(None, paths)])
+
+
 def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, column: int = 0, limit: int = 4 << 20) -> DataFrame:
     """``mapInArrow`` over pieces of about ``limit`` bytes of text each, so that memory is bounded by ``limit`` and the longest row."""
 
@@ -96,4 +109,5 @@ def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], sch
             for part in pieces(batch, column, limit):
                 yield fn(part)
 
+    importable(df.sparkSession)
     return df.mapInArrow(run, schema)
