@@ -40,7 +40,7 @@ def token_features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray,
         eight = np.ndarray((len(buf) + 1,), "<u8", padded, strides=(1,))[starts]
         for k, n in enumerate(PREFIXES):
             out[:, 1 + k] = textnum.mix((eight & np.uint64((1 << (8 * n)) - 1)) + np.uint64(n << 56))
-            out[ends - starts < n, 1 + k] = h[ends - starts < n]
+            out[ends - starts <= n, 1 + k] = h[ends - starts <= n]  # a prefix is shorter than its word
     return starts, ends, first, out
 
 
