@@ -12,7 +12,8 @@ With 40 bands of 5 registers a link at similarity 0.8 is missed with probability
 Groups are never expanded into pairs. Equal sets become one node. A bucket's leader is the node that shares most buckets
 with others (in a group of copies that is the text they stem from). Each node is first verified against one leader, the
 one it meets most often; only buckets whose nodes are still in different components after that are looked at node by
-node, in blocks of bounded size, and pairs within a component are left out.
+node, in blocks of bounded size, and pairs within a component are left out. Jaccard distance is a metric: two nodes
+whose known distances to one leader differ by more than the links' bound can't be linked, and aren't compared.
 
 Defined results: null or empty texts have no set and are linked with nothing; texts of fewer words than a shingle are
 one shingle; rows that repeat a doc_id are told apart by their texts, and links of either text count for the id; a
@@ -35,8 +36,9 @@ SHINGLE, PERCENT = 5, 80
 BANDS, ROWS, MANTISSA = 40, 5, 4
 REGISTERS = BANDS * ROWS
 SKETCH = 640
-LEAST_ESTIMATE = 0.71  # 0.8 less 5.7 standard deviations of an estimate by 640 registers
+DEVIATIONS = 6  # standard deviations below the link's similarity from which on an estimate is too low
 BLOCK, SMALL_ROWS = 256, 2048
+BLANK = 255
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -60,8 +62,8 @@ def shingle_sets(texts: pa.Array, size: int) -> list[np.ndarray]:
     return out
 
 
-def registers(sets: list[np.ndarray], size: int = REGISTERS) -> np.ndarray:
-    """``size`` HyperMinHash registers, one row a set; a set without shingles has a row of zeros."""
+def registers(sets: list[np.ndarray], size: int = REGISTERS, fill: bool = True) -> np.ndarray:
+    """``size`` HyperMinHash registers, one row a set; a set without shingles has a row of zeros. Without ``fill`` empty registers hold ``BLANK``."""
     n = len(sets)
     least = np.full(n * size, _EMPTY)
     if n and sum(map(len, sets)):
@@ -73,6 +75,8 @@ def registers(sets: list[np.ndarray], size: int = REGISTERS) -> np.ndarray:
     zeros = np.clip(53 - exp, 0, 15)
     code = (zeros << MANTISSA | np.clip((frac * 2 - 1) * (1 << MANTISSA), 0, (1 << MANTISSA) - 1).astype(np.int64)).astype(np.uint8).reshape(n, size)
     empty = (least == _EMPTY).reshape(n, size)
+    if not fill:
+        return np.where(empty, BLANK, np.minimum(code, BLANK - 1)).astype(np.uint8)
     some = ~empty.all(axis=1)
     code[~some] = 0
     r, c = np.nonzero(empty & some[:, None])
@@ -95,10 +99,29 @@ def band_keys(code: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
-def estimate(equal: np.ndarray) -> np.ndarray:
-    """Jaccard similarity from the share of equal registers, less chance equality of compressed values (ln 2 / 4 per mantissa value)."""
+def estimate(one: np.ndarray, others: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Jaccard similarity of a sketch and each of some others, and how many registers tell of it.
+
+    It is the share of equal registers among those that either fills, less chance equality of compressed values
+    (ln 2 / 4 per mantissa value).
+    """
+    same, none = others == one, (others == BLANK) & (one == BLANK)
+    blank = none.sum(axis=1)
+    used = np.maximum(one.size - blank, 1)
     chance = np.log(2) / 4 / (1 << MANTISSA)
-    return (equal - chance) / (1 - chance)
+    return ((same.sum(axis=1) - blank) / used - chance) / (1 - chance), used
+
+
+def fair(one: np.ndarray, n: int, others: np.ndarray, m: np.ndarray, bound: float) -> np.ndarray:
+    """Which of the others may have a similarity of ``bound``: its estimate lies less than ``DEVIATIONS`` below. n, m: set sizes.
+
+    Registers sample the union without replacement, so the variance falls with the share of the union that they hold.
+    """
+    guess, used = estimate(one, others)
+    union = np.maximum((n + m) / (1 + bound), 1)
+    used = np.minimum(used, union)
+    deviation = np.sqrt(bound * (1 - bound) / used * np.maximum(1 - used / union, 0.02))
+    return guess >= bound - DEVIATIONS * deviation - 0.01
 
 
 def _summaries(size: int):
@@ -119,8 +142,9 @@ def _keys(batch: pa.RecordBatch) -> pa.RecordBatch:
 
 def _sketches(size: int):
     def sketch(batch: pa.RecordBatch) -> pa.RecordBatch:
-        code = registers(shingle_sets(batch.column(1), size), SKETCH)
-        return pa.RecordBatch.from_arrays([*batch.columns, pa.array([x.tobytes() for x in code], pa.binary())], ["node", "text", "code", "sketch"])
+        sets = shingle_sets(batch.column(1), size)
+        code = registers(sets, SKETCH, fill=False)
+        return pa.RecordBatch.from_arrays([*batch.columns, pa.array([x.tobytes() for x in code], pa.binary()), pa.array([len(x) for x in sets], pa.int64())], ["node", "text", "code", "sketch", "n"])
 
     return sketch
 
@@ -129,34 +153,26 @@ def _rows(column, width: int) -> np.ndarray:
     return np.frombuffer(b"".join(column), np.uint8).reshape(-1, width)
 
 
-def _verifier(size: int, percent: int, estimated: bool):
+def _verifier(size: int, percent: int):
     def verify(batch: pa.RecordBatch) -> pa.RecordBatch:
         a, b, ta, tb = (batch.column(k) for k in range(4))
-        fair = np.arange(batch.num_rows)
-        if not estimated:
-            x, y = (_rows(batch.column(k).to_pylist(), SKETCH) for k in (4, 5))
-            fair = np.flatnonzero(estimate((x == y).mean(axis=1)) >= LEAST_ESTIMATE)
-        take = pa.array(fair)
-        left, right = shingle_sets(ta.take(take), size), shingle_sets(tb.take(take), size)
-        good = []
-        for k, (x, y) in enumerate(zip(left, right, strict=True)):
+        good, far = [], []
+        for x, y in zip(shingle_sets(ta, size), shingle_sets(tb, size), strict=True):
             both = np.concatenate([x, y])
             both.sort()
             common = int((both[1:] == both[:-1]).sum())
-            if 100 * common >= percent * (len(both) - common):
-                good.append(fair[k])
-        take = pa.array(np.array(good, np.int64))
-        return pa.RecordBatch.from_arrays([a.take(take), b.take(take)], ["a", "b"])
+            good.append(100 * common >= percent * (len(both) - common))
+            far.append(1 - common / max(len(both) - common, 1))
+        return pa.RecordBatch.from_arrays([a, b, pa.array(good, pa.bool_()), pa.array(far, pa.float64())], ["a", "b", "good", "far"])
 
     return verify
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int, estimated: bool = False) -> DataFrame:
-    """The pairs (a, b) of nodes whose sets are similar enough, by any text of either node. ``estimated``: their estimates are known to be fair."""
-    more = () if estimated else ("sketch",)
-    t = lambda s: texts.select(F.col("node").alias(s), *[F.col(c).alias(c + s) for c in ("text", *more)])
-    x = pairs.join(t("a"), "a").join(t("b"), "b").select("a", "b", *[c + s for c in ("text", *more) for s in "ab"])
-    return arrow_map(x, _verifier(size, percent, estimated), "a bigint, b bigint", 2, 2 << 20).distinct()
+def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """a, b, good (similar enough), far (Jaccard distance) of pairs of nodes, on the full sets of their texts."""
+    t = lambda s: texts.select(F.col("node").alias(s), F.col("text").alias("text" + s))
+    x = pairs.join(t("a"), "a").join(t("b"), "b").select("a", "b", "texta", "textb")
+    return arrow_map(x, _verifier(size, percent), "a bigint, b bigint, good boolean, far double", 2, 2 << 20)
 
 
 def _block_pairs(rows: pd.DataFrame) -> pd.DataFrame:
@@ -165,8 +181,10 @@ def _block_pairs(rows: pd.DataFrame) -> pd.DataFrame:
     rows = rows.sort_values(["key", "node"], kind="stable")
     side, key = rows["side"].to_numpy(), rows["key"].to_numpy()
     node, comp = rows["node"].to_numpy(), rows["comp"].to_numpy()
+    n = rows["n"].to_numpy()
     sketch, bands = _rows(rows["sketch"], SKETCH), band_keys(_rows(rows["code"], REGISTERS))
     two = rows["ci"].iloc[0] != rows["cj"].iloc[0]
+    lead, far, bound = rows["lead"].to_numpy(), rows["far"].to_numpy(), rows["bound"].to_numpy()
     heads = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
     left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for at, end in zip(heads.tolist(), np.append(heads[1:], len(key)).tolist(), strict=True):
@@ -176,7 +194,9 @@ def _block_pairs(rows: pd.DataFrame) -> pd.DataFrame:
             j = others[comp[others] != comp[i]]
             if not two:
                 j = j[j > i]
-            j = j[estimate((sketch[j] == sketch[i]).mean(axis=1)) >= LEAST_ESTIMATE] if len(j) else j
+            if lead[i] >= 0:  # with one leader, distances that differ too much rule a link out
+                j = j[(lead[j] != lead[i]) | (np.abs(far[j] - far[i]) <= bound[i])]
+            j = j[fair(sketch[i], n[i], sketch[j], n[j], 1 - bound[i])] if len(j) else j
             if len(j):
                 meet = bands[j] == bands[i]
                 j = j[bands[i][meet.argmax(axis=1)] == key[i]]
@@ -200,12 +220,17 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", siz
     leads = members.join(degree, "node").groupBy("key").agg(F.max(F.struct("degree", -F.col("node"))).alias("x")).select("key", (-F.col("x")["col2"]).alias("lead"))
     near = degree.select(F.col("node").alias("near_node"))
     texts = rows.join(near, rows.id == F.col("near_node"), "left_semi").distinct().join(nodes, F.col("id") == F.col("node")).select("node", "text", "code")
-    texts = written(arrow_map(texts, _sketches(size), "node bigint, text string, code binary, sketch binary", 1, 1 << 20), "near-texts")
+    texts = written(arrow_map(texts, _sketches(size), "node bigint, text string, code binary, sketch binary, n bigint", 1, 1 << 20), "near-texts")
 
     # one leader a node
     best = members.join(leads, "key").where("node <> lead").groupBy("node", "lead").count().groupBy("node").agg(F.max(F.struct("count", -F.col("lead"))).alias("x"))
-    first = written(_verified(best.select(F.col("node").alias("a"), (-F.col("x")["col2"]).alias("b")), texts, size, percent), "near-links")
+    tried = written(_verified(best.select(F.col("node").alias("a"), (-F.col("x")["col2"]).alias("b")), texts, size, percent), "near-tried")
+    first = tried.where("good").select("a", "b").distinct()
     comps = written(components(first), "near-comps")
+    # a node's leader and distance from it; a leader is its own. With several texts under one id nothing is known
+    known = tried.select(F.col("a").alias("node"), F.col("b").alias("lead"), "far", F.lit(0).alias("own")).unionByName(tried.select(F.col("b").alias("node"), F.col("b").alias("lead"), F.lit(0.0).alias("far"), F.lit(1).alias("own")).distinct())
+    known = known.groupBy("node").agg(F.max(F.struct("own", "lead", "far")).alias("x"), F.count("*").alias("c"), F.max("own").alias("leads"))
+    known = known.join(texts.groupBy("node").agg(F.count("*").alias("texts")), "node").select("node", F.when((F.col("texts") == 1) & (F.col("c") <= 1 + F.col("leads")), F.col("x.lead")).alias("lead"), F.col("x.far").alias("far"))
 
     # buckets that still hold several components
     placed = members.join(comps, "node", "left").select("key", "node", "m", F.coalesce("comp", "node").alias("comp"))
@@ -215,10 +240,11 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", siz
     parts = F.ceil(F.col("m") / block).cast("int")
     still = still.withColumn("g", parts).withColumn("own", F.pmod(F.xxhash64("node"), F.col("g")).cast("int"))
     still = still.withColumn("slot", F.when(F.col("g") > 1, F.col("key")).otherwise(F.pmod("key", F.lit(slots))))
-    dealt = still.join(texts.select("node", "code", "sketch"), "node").withColumn("c", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
-    dealt = dealt.select("g", "slot", "key", "node", "comp", "code", "sketch", F.least("own", "c").alias("ci"), F.greatest("own", "c").alias("cj"), (F.col("own") > F.col("c")).cast("int").alias("side"))
+    still = still.join(known, "node", "left").withColumn("lead", F.coalesce("lead", F.lit(-1))).withColumn("far", F.coalesce("far", F.lit(0.0)))
+    dealt = still.join(texts.select("node", "code", "sketch", "n"), "node").withColumn("c", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
+    dealt = dealt.select("g", "slot", "key", "node", "comp", "code", "sketch", "n", "lead", "far", F.lit(1 - percent / 100 + 1e-9).alias("bound"), F.least("own", "c").alias("ci"), F.greatest("own", "c").alias("cj"), (F.col("own") > F.col("c")).cast("int").alias("side"))
     pairs = dealt.groupBy("g", "slot", "ci", "cj").applyInPandas(_block_pairs, "a bigint, b bigint").distinct()
-    more = written(_verified(written(pairs, "near-pairs"), texts, size, percent, estimated=True), "near-links")
+    more = written(_verified(written(pairs, "near-pairs"), texts, size, percent).where("good").select("a", "b").distinct(), "near-links")
     comps = written(components(first.unionByName(more)), "near-comps")
 
     out = sums.join(sets, ["s1", "s2"], "left").withColumn("node", F.when(F.col("n") > 0, F.col("node"))).join(comps, "node", "left")
