@@ -22,10 +22,10 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that repeat an earlier one go; a document goes if none of its text is left."""
-    out, gone = line_dedup.deduplicated(docs)
+    """Lines that repeat an earlier one go, short lines too; a document goes if none of its text is left."""
+    out, gone = line_dedup.deduplicated(docs, short=True)
     changed = F.size(gone) > 0
-    out = out.where(~(changed & (F.trim("text") == "")))
+    out = out.where(~changed | F.col("text").rlike(r"(?U)\S"))
     return out.withColumn("n_chars", F.when(changed, F.length("text").cast("bigint")).otherwise(F.col("n_chars"))).select(docs.columns)
 
 

@@ -2,8 +2,10 @@
 
 A line's words are its trimmed, lower-cased text cut at single spaces. Two lines of ``min_words`` words or more
 are near-equal if one word is replaced, put in or left out between them (word edit distance of at most 1). Of the
-lines in order of (doc_id, line number), a line goes if an earlier line is equal or near-equal to it; shorter lines
-stay. A text of which no line is left becomes empty; the pipeline drops such documents.
+lines in order of (doc_id, line number), a line goes if an earlier line is equal or near-equal to it. Shorter lines
+stay, or with ``short`` (as in the pipeline) go if an earlier line is equal: then every line that isn't blank is
+compared, whatever its length, and ``min_words`` bounds the near-equal lines alone. A text of which no line is left
+becomes empty; the pipeline drops such documents.
 
 The neighbourhood of a line is the line itself and each line with one word left out. Its keys are XORs of
 position-dependent word hashes, so a line of n words makes its n + 1 keys in O(n). Lines that share the key of
@@ -33,11 +35,12 @@ def words_in(line: Column) -> Column:
     return F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) + 1
 
 
-def lines_of(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
-    """id, no, norm, n: the lines that are long enough to be compared."""
+def lines_of(docs: DataFrame, id_col: str, text_col: str, min_words: int, short: bool = False) -> DataFrame:
+    """id, no, norm, n: the lines that are long enough to be compared, or with ``short`` all that aren't blank."""
     x = docs.select(F.col(id_col).alias("id"), F.posexplode(F.split(F.col(text_col), "\n")).alias("no", "line"))
     x = x.select("id", "no", F.lower(F.trim("line")).alias("norm"))
-    return x.withColumn("n", words_in(F.col("norm"))).where(F.col("n") >= min_words)
+    long = F.col("n") >= min_words
+    return x.withColumn("n", words_in(F.col("norm"))).where(long | F.col("norm").rlike(r"(?U)\S") if short else long)
 
 
 def half_keys(norm: Column, n: Column) -> Column:
@@ -92,11 +95,12 @@ def near_removals(docs: DataFrame, distinct: DataFrame, id_col: str, text_col: s
     return found.join(a, "at").join(b, "by").where(at_most_one_edit(F.col("a"), F.col("b"))).select("at", "by")
 
 
-def line_removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+def line_removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, short: bool = False) -> DataFrame:
     """id, no, by: each line to remove (its place in the text split at line feeds, from 0) and the place (id, no) of an earlier line it repeats."""
-    lines = lines_of(docs, id_col, text_col, min_words)
+    lines = lines_of(docs, id_col, text_col, min_words, short)
     h1, h2 = F.xxhash64("norm").alias("h1"), F.xxhash64(F.lit(1), "norm").alias("h2")
-    keyed = written(lines.select(h1, h2, F.struct("id", "no").alias("at"), half_keys(F.col("norm"), F.col("n")).alias("halves")), "lines-all")
+    halves = F.when(F.col("n") >= min_words, half_keys(F.col("norm"), F.col("n")))  # none for short lines, which have equal lines alone
+    keyed = written(lines.select(h1, h2, F.struct("id", "no").alias("at"), halves.alias("halves")), "lines-all")
     distinct = written(keyed.groupBy("h1", "h2").agg(F.min("at").alias("at"), F.count("*").alias("times"), F.first("halves").alias("halves")), "lines-distinct")
     near = written(near_removals(docs.select(id_col, text_col), distinct, id_col, text_col, min_words), "lines-near")
     settled = distinct.join(near, "at", "left").where("times > 1 or by is not null").select("h1", "h2", F.col("at").alias("first"), "by")
@@ -104,10 +108,10 @@ def line_removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return out.select("at.id", "at.no", F.when(F.col("at") != F.col("first"), F.col("first")).otherwise(F.col("by")).alias("by")).where("by is not null")
 
 
-def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> tuple[DataFrame, str]:
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, short: bool = False) -> tuple[DataFrame, str]:
     """``docs`` without the removed lines, and the name of a new last column with their numbers (``removed_lines``, lengthened where docs has one). A text without any line left is ''."""
     name, key = fresh(docs, "removed_lines"), fresh(docs, "removed_id")
-    gone = line_removals(docs, id_col, text_col, min_words).groupBy(F.col("id").alias(key)).agg(F.array_sort(F.collect_set("no")).alias(name))
+    gone = line_removals(docs, id_col, text_col, min_words, short).groupBy(F.col("id").alias(key)).agg(F.array_sort(F.collect_set("no")).alias(name))
     x = docs.join(gone, docs[id_col].eqNullSafe(gone[key]), "left")
     parts = F.split(F.col(text_col), "\n")
     left = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col(name))

@@ -1,5 +1,8 @@
 import random
 
+from pyspark.sql import functions as F
+
+import corpus_pipeline
 from kvlake.llm import line_dedup
 
 SCHEMA = "doc_id long, text string, removed_lines string, id int"
@@ -60,3 +63,24 @@ def test_long_lines_ties_and_empty(spark):
     assert sorted((r.doc_id, list(r[name])) for r in out.collect()) == [(1, []), (2, [0]), (3, [0]), (4, [0]), (4, [0])]
     out, name = line_dedup.deduplicated(spark.createDataFrame([], SCHEMA))
     assert out.count() == 0
+
+
+def test_pipeline_removes_short_repeats(spark):
+    long = "one two three four five six seven eight nine ten"
+    texts = ["Read on\n\n \t\nRead on ", f"read on\na\tb\n{long}", f"Read now\nA\tB\n{long} x\n東京は日本の首都です。", "\n東京は日本の首都です。\n\n", "東京は日本の首都です。", None, "\n \t\n"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("n_chars", F.length("text").cast("bigint"))
+    got = {r.doc_id: (r.text, r.n_chars) for r in corpus_pipeline.drop_repeated_lines(spark, df, "").collect()}
+    left = {0: "Read on\n\n \t", 1: f"a\tb\n{long}", 2: "Read now\n東京は日本の首都です。", 5: None, 6: "\n \t\n"}
+    assert got == {k: (t, t and len(t)) for k, t in left.items()}
+    r = random.Random(9)
+    lines = [" ".join(r.choice("abcd") for _ in range(r.randint(1, 7))) for _ in range(60)]
+    docs = [(i, "\n".join(r.choice(lines) for _ in range(6))) for i in range(30)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    out, name = line_dedup.deduplicated(df, min_words=5, short=True)
+    want, seen = brute(docs, 5), set()
+    for i, t in docs:
+        for no, line in enumerate(t.split("\n")):
+            if line in seen:
+                want.setdefault(i, set()).add(no)
+            seen.add(line)
+    assert {x.doc_id: set(x[name]) for x in out.collect() if x[name]} == want
