@@ -146,12 +146,25 @@ def _cut(text: str, spans: list[tuple[int, int]]) -> str:
     return b"".join([*out, raw[at:]]).decode()
 
 
+def _without_spans(docs: DataFrame, text_col: str, hits: str) -> DataFrame:
+    """``docs`` with the spans of column ``hits`` cut out of the texts."""
+    at, of = docs.columns.index(text_col), docs.columns.index(hits)
+    names = docs.columns
+
+    def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
+        spans = [[(s["start"], s["stop"]) for s in x] for x in batch.column(of).field(3).to_pylist()]
+        texts = [_cut(t, x) if x else t for t, x in zip(batch.column(at).to_pylist(), spans, strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if k == at else c for k, c in enumerate(batch.columns)], names)
+
+    return arrow_map(docs, cut, ", ".join(f"`{c}` {t}" for c, t in docs.dtypes), at)
+
+
 def searched(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES, shard_bytes: int = SHARD_BYTES, text: str = "keep") -> tuple[DataFrame, str]:
     """``docs`` with one struct column more, and that column's name (``hits``, lengthened where docs has such a column).
 
     hits: n_words, n_hit, items (sorted strings of the items that occur), spans (start and stop bytes, in UTF-8, of the
     passages to remove). text: ``keep``, ``drop`` (leave the column out) or ``clean`` (cut the spans out, again until
-    nothing is found; then hits tells of the text as it was).
+    nothing is found; then hits tells of the text as it was). All blocks search a text before it is cut.
     """
     name = fresh(docs, "hits")
     kind = "struct<n_words:bigint,n_hit:bigint,items:array<string>,spans:array<struct<start:int,stop:int>>>"
@@ -162,26 +175,26 @@ def searched(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item
     for k, (n, block) in enumerate(blocks(benchmark, item_col, item_text, block_bytes)):
         shared = sc.broadcast(block)
         last = k == n - 1
+        alone = n == 1 and text == "clean"
         kept = [c for c in out.columns if c != text_col or not (last and text == "drop")]
 
-        def shard(batch: pa.RecordBatch, shared=shared, kept=kept, made=[]) -> pa.RecordBatch:  # noqa: B006
+        def shard(batch: pa.RecordBatch, shared=shared, kept=kept, alone=alone, made=[]) -> pa.RecordBatch:  # noqa: B006
             if not made:
                 made.append(Windows([x[0] for x in shared.value], [x[1] for x in shared.value], window))
             array, had = batch.column(at), batch.column(batch.num_columns - 1)
             _, starts, ends, first, covered, row, item = shard_hits(array, made[0])
             base = textnum.raw_bytes(array)[1][:-1]
-            if text != "clean":
-                covered |= _within(had.field(3), base, starts)
+            covered |= _within(had.field(3), base, starts)
             s, e, spans_first = removal_spans(starts, ends, first, covered)
             own = np.repeat(base, np.diff(spans_first))
             s, e = s - own, e - own
             items = [sorted({*a, *b}) for a, b in zip(had.field(2).to_pylist(), _ids(row, item, batch.num_rows, made[0].ids), strict=True)]
-            n_hit = textnum.row_sums(covered.astype(np.int64), first) + (had.field(1).to_numpy() if text == "clean" else 0)
+            n_hit = textnum.row_sums(covered.astype(np.int64), first)
             spans = pa.ListArray.from_arrays(pa.array(spans_first, pa.int32()), pa.StructArray.from_arrays([pa.array(s, pa.int32()), pa.array(e, pa.int32())], ["start", "stop"]))
             n_words = np.maximum(np.diff(first), had.field(0).to_numpy())
             hits = pa.StructArray.from_arrays([pa.array(n_words), pa.array(n_hit), pa.array(items, pa.list_(pa.string())), spans], ["n_words", "n_hit", "items", "spans"])
             cols = [hits if c == name else batch.column(i) for i, c in enumerate(batch.schema.names) if c in kept]
-            if text == "clean" and len(s):
+            if alone and len(s):
                 texts = array.to_pylist()
                 todo = {r: list(zip(s[spans_first[r] : spans_first[r + 1]].tolist(), e[spans_first[r] : spans_first[r + 1]].tolist(), strict=True)) for r in np.flatnonzero(np.diff(spans_first))}
                 while todo:
@@ -200,7 +213,17 @@ def searched(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item
         out = arrow_map(out, shard, schema, at, shard_bytes)
         if not last:
             out = written(out, "search-block")
-    return out, name
+    if text != "clean" or n == 1:
+        return out, name
+    # the merged spans of all blocks are cut at once; texts that were cut are searched by all blocks again
+    out = written(_without_spans(out, text_col, name), "search-cut")
+    done, left = out.where(F.col(name)["n_hit"] == 0), out.where(F.col(name)["n_hit"] > 0)
+    while not left.isEmpty():
+        found, again = searched(left, benchmark, text_col, item_col, item_text, window, block_bytes, shard_bytes)
+        found = written(_without_spans(found, text_col, again), "search-cut")
+        done = done.unionByName(found.where(F.col(again)["n_hit"] == 0).drop(again))
+        left = found.where(F.col(again)["n_hit"] > 0).drop(again)
+    return done, name
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

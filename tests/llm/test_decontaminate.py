@@ -73,6 +73,20 @@ def test_cleaned_texts_hold_nothing(spark):
     assert all(r.text == before[r.doc_id] for r in rows if r.n == 0) and any(r.n for r in rows)
 
 
+def test_cleaning_by_blocks_is_cleaning_by_one(spark):
+    # overlapping windows of several items, items of one text, and a passage that a cut joins together
+    said = [f"w{k}" for k in range(40)]
+    bench = [(k, " ".join(said[5 * k : 5 * k + 12])) for k in range(5)] + [(10 + k, " ".join(said[:12])) for k in range(4)] + [(20, " ".join("abcdefghijkl"))]
+    docs = [(1, " ".join(said)), (2, "x " + " ".join(said[3:16]) + " y"), (3, "a b c d e " + " ".join(said[:12]) + " f g h i j k l m"), (4, "none"), (4, None)]
+    d = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)
+    b = spark.createDataFrame(bench, "item_id long, text string").coalesce(1)
+    got = []
+    for limit in ({}, {"block_bytes": 120}):
+        out, name = dc.searched(d, b, text="clean", **limit)
+        got.append(sorted(repr((r.doc_id, r.text, r[name])) for r in out.collect()))
+    assert got[0] == got[1]
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     d = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
