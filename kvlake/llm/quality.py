@@ -110,8 +110,10 @@ def _pair_tree(g: np.ndarray, n: np.ndarray, least: float = 5.0) -> tuple[float,
 class Gam:
     """Bin edges, a table a feature, a table a chosen pair, and the intercept."""
 
-    def __init__(self, x: np.ndarray, y: np.ndarray):
-        share = (y.mean() if len(y) else 0.5)
+    def __init__(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None):
+        # weights have mean 1
+        weight = np.ones(len(y)) if weight is None or not len(y) else weight / weight.mean()
+        share = float(np.sum(weight * y) / np.sum(weight)) if len(y) else 0.5
         self.start = float(np.log(max(share, 1e-6) / max(1 - share, 1e-6))) if 0 < share < 1 else (0.0 if not len(y) else (13.8 if share == 1 else -13.8))
         k = x.shape[1]
         grid = np.linspace(0, 1, BINS + 1)[1:-1]
@@ -127,14 +129,14 @@ class Gam:
                 p = 1 / (1 + np.exp(-f))
                 w = p * (1 - p)
                 m = len(self.tables[j])
-                t = RATE * np.clip(_tree(np.bincount(bins[j], y - p, m), np.bincount(bins[j], w, m)), -4, 4)
+                t = RATE * np.clip(_tree(np.bincount(bins[j], weight * (y - p), m), np.bincount(bins[j], weight * w, m)), -4, 4)
                 self.tables[j] += t
                 f += t[bins[j]]
         low = [np.searchsorted(e, x[:, j], "right") for j, e in enumerate(self.coarse)]
 
         def joint(i, j, v):
             a, b = len(self.coarse[i]) + 1, len(self.coarse[j]) + 1
-            return np.bincount(low[i] * b + low[j], v, a * b).reshape(a, b)
+            return np.bincount(low[i] * b + low[j], weight * v, a * b).reshape(a, b)
 
         p = 1 / (1 + np.exp(-f))
         gains = sorted(((_pair_tree(joint(i, j, y - p), joint(i, j, p * (1 - p)))[0], i, j) for i, j in itertools.combinations(range(k), 2)), reverse=True)
@@ -161,12 +163,13 @@ def _rows(batch: pa.RecordBatch) -> pa.RecordBatch:
 
 
 def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", most: int = PER_CLASS) -> Gam:
-    """Learn from ``most`` labelled rows of each class at most. Labels that repeat count once."""
-    rows, _ = labelled(docs, labels, label_col, id_col, text_col, most)
+    """Learn from ``most`` labelled rows of each class at most, which weigh as all labels of their class. Labels that repeat count once."""
+    rows, counts = labelled(docs, labels, label_col, id_col, text_col, most)
     found = arrow_map(rows, _rows, "label int, x array<double>", 0).collect()
     found.sort(key=lambda r: (r.label, r.x))
     x = np.array([r.x for r in found]) if found else np.zeros((0, len(FEATURES)))
-    return Gam(x, np.array([r.label for r in found], float))
+    # one over the share that the sample took of the class
+    return Gam(x, np.array([r.label for r in found], float), np.array([max(1.0, counts[r.label] / most) for r in found]))
 
 
 def scored(docs: DataFrame, model: Gam, text_col: str = "text", keep: dict | None = None) -> DataFrame:

@@ -46,6 +46,13 @@ def test_quality_of_held_out_texts(spark):
     assert {x.score for x in quality.scored(odd, none).collect()} == {0.5}
 
 
+def test_quality_keeps_the_shares_of_a_thinned_class(spark):
+    # the text doesn't tell the class, so the score is class 1's share of all labels
+    df = spark.range(4000).selectExpr("id AS doc_id", "'same text for all' AS text", "CAST(id % 10 > 0 AS INT) AS quality")
+    model = quality.train(df.select("doc_id", "text"), df.select("doc_id", "quality"), most=400)
+    assert abs(quality.scored(df.limit(1), model).first().score - 0.9) < 0.03
+
+
 def test_pairs_matter():
     r = np.random.default_rng(1)
     x = r.random((3000, len(quality.FEATURES)))
