@@ -22,7 +22,7 @@ from kvlake.llm import textnum
 from kvlake.llm.common import arrow_map, fold, table
 from kvlake.llm.sampling import per_class
 
-PER_LANG, PIECES, DIM, MOST_LANGS = 300, 4, 4096, 100
+PER_LANG, PIECES, DIM = 300, 4, 4096
 
 #: ISO 639-1 codes of common languages by family. A code that isn't listed is a family of its own.
 FAMILIES = {
@@ -90,10 +90,26 @@ def svm(x: np.ndarray, y: np.ndarray, c: float = 4.0, epochs: int = 12, seed: in
     return w.astype(np.float32)
 
 
+class Rows:
+    """Sparse vectors, (indices, values) each, which stay so until a machine learns from some of them."""
+
+    def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]]):
+        self.vectors = vectors
+
+    def of(self, which: np.ndarray) -> Rows:
+        return Rows([self.vectors[k] for k in which])
+
+    def __getitem__(self, which: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(which), DIM), np.float32)
+        for row, k in zip(out, which, strict=True):
+            row[self.vectors[k][0]] = self.vectors[k][1]
+        return out
+
+
 class Vote:
     """One-versus-one machines over classes."""
 
-    def __init__(self, x: np.ndarray, labels: np.ndarray):
+    def __init__(self, x: Rows, labels: np.ndarray):
         self.classes = sorted(set(labels.tolist()))
         self.pairs = list(itertools.combinations(range(len(self.classes)), 2))
         own = {c: np.flatnonzero(labels == c) for c in self.classes}
@@ -122,10 +138,10 @@ class Vote:
 class Identifier:
     """The family vote and a vote within each family."""
 
-    def __init__(self, x: np.ndarray, langs: np.ndarray):
+    def __init__(self, x: Rows, langs: np.ndarray):
         families = np.array([family(x) for x in langs])
         self.families = Vote(x, families)
-        self.within = [Vote(x[families == f], langs[families == f]) for f in self.families.classes]
+        self.within = [Vote(x.of(np.flatnonzero(families == f)), langs[families == f]) for f in self.families.classes]
 
     def predict(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         f, score = self.families.predict(x)
@@ -163,17 +179,14 @@ def _examples(batch: pa.RecordBatch) -> pa.RecordBatch:
 
 
 def train(rows: DataFrame, text_col: str = "text", lang_col: str = "lang", per_lang: int = PER_LANG) -> Identifier | None:
-    """Learn from ``per_lang`` texts of each of the ``MOST_LANGS`` most frequent languages at most; None without any."""
+    """Learn from ``per_lang`` texts of each language at most; None without any."""
     rows = rows.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("lang is not null and text is not null")
-    top = [r.lang for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGS).collect()]
-    sample = per_class(rows.where(F.col("lang").isin(top)), "lang", per_lang, F.col("text"))
+    sample = per_class(rows, "lang", per_lang, F.col("text"))
     found = arrow_map(sample, _examples, "lang string, at binary, value binary", 0, 1 << 20).collect()
     if not found:
         return None
     found.sort(key=lambda r: (r.lang, bytes(r.at), bytes(r.value)))
-    x = np.zeros((len(found), DIM), np.float32)
-    for k, r in enumerate(found):
-        x[k, np.frombuffer(r.at, np.uint16)] = np.frombuffer(r.value, np.float16)
+    x = Rows([(np.frombuffer(r.at, np.uint16), np.frombuffer(r.value, np.float16)) for r in found])
     return Identifier(x, np.array([r.lang for r in found], object))
 
 

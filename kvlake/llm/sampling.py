@@ -13,9 +13,10 @@ def per_class(rows: DataFrame, label: str, most: int, by: Column) -> DataFrame:
     be distinct where the bound matters.
     """
     counts = {r[0]: r[1] for r in rows.groupBy(label).count().collect() if r[0] is not None}
-    share = F.lit(0.0)
+    share = F.when(F.lit(False), 0.0)  # one flat case, however many classes
     for value, n in counts.items():
-        share = F.when(F.col(label) == F.lit(value), F.lit(min(1.0, most / n))).otherwise(share)
+        share = share.when(F.col(label) == F.lit(value), F.lit(min(1.0, most / n)))
+    share = share.otherwise(0.0)
     return rows.where(F.pmod(F.xxhash64(F.lit("sample"), by), F.lit(1 << 20)) < share * (1 << 20))
 
 

@@ -29,6 +29,12 @@ def test_languages_of_held_out_texts(spark):
     assert {x.lang_pred for x in lang_id.identified(df, one).collect()} == {"fr"}
 
 
+def test_every_language_is_learned(spark):
+    langs = [f"{code}-{k:02}" for code in "en fr ru fi tr hi ar id".split() for k in range(13)]
+    df = spark.createDataFrame([(f"{x} word of {x}", x) for x in langs], "text string, lang string")
+    assert sorted(c for vote in lang_id.train(df).within for c in vote.classes) == sorted(langs)
+
+
 def test_quality_of_held_out_texts(spark):
     r = random.Random(2)
     rows = []
