@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kvlake.llm import textnum
-from kvlake.llm.common import arrow_map, fold, table
+from kvlake.llm.common import arrow_map, fold, table, written
 from kvlake.llm.sampling import per_class
 
 PER_LANG, PIECES, DIM = 300, 4, 4096
@@ -179,9 +179,12 @@ def _examples(batch: pa.RecordBatch) -> pa.RecordBatch:
 
 
 def train(rows: DataFrame, text_col: str = "text", lang_col: str = "lang", per_lang: int = PER_LANG) -> Identifier | None:
-    """Learn from ``per_lang`` texts of each language at most; None without any."""
+    """Learn from about ``per_lang`` distinct texts of each language at most; None without any."""
     rows = rows.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("lang is not null and text is not null")
-    sample = per_class(rows, "lang", per_lang, F.col("text"))
+    # only hashes are made distinct over all rows; of the texts chosen, one copy each comes along
+    rows = rows.withColumn("h", F.xxhash64("text"))
+    chosen = per_class(written(rows.select("lang", "h").distinct(), "lang-texts"), "lang", per_lang, F.col("h"))
+    sample = rows.join(F.broadcast(chosen), ["lang", "h"]).dropDuplicates(["lang", "h"]).select("text", "lang")
     found = arrow_map(sample, _examples, "lang string, at binary, value binary", 0, 1 << 20).collect()
     if not found:
         return None

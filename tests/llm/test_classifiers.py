@@ -35,6 +35,22 @@ def test_every_language_is_learned(spark):
     assert sorted(c for vote in lang_id.train(df).within for c in vote.classes) == sorted(langs)
 
 
+def test_copies_count_once_in_the_sample(spark):
+    rows = [(f"{x} {w} text", x) for x in "de en es fr it nl pl pt".split() for w in ("first", "second") for _ in range(200)]
+    seen = []
+
+    def kept(x, langs):
+        seen.extend(langs.tolist())
+
+    real, lang_id.Identifier = lang_id.Identifier, kept
+    try:
+        lang_id.train(spark.createDataFrame(rows, "text string, lang string"), per_lang=10)
+    finally:
+        lang_id.Identifier = real
+    # two distinct texts a language, each whole and in pieces
+    assert {x: seen.count(x) for x in set(seen)} == {x: 2 * (1 + lang_id.PIECES) for x in {x for _, x in rows}}
+
+
 def test_quality_of_held_out_texts(spark):
     r = random.Random(2)
     rows = []
