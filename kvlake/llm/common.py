@@ -38,11 +38,11 @@ def delete(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: cuts lineage and survives lost executors."""
+def written(df: DataFrame, name: str, plain: bool = False) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder: cuts lineage and survives lost executors. ``plain``: no dictionaries, for columns of hashes."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex[:8]}"
-    df.write.parquet(path)
+    (df.write.option("parquet.enable.dictionary", "false") if plain else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -108,6 +108,7 @@ def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], sch
         for batch in batches:
             for part in pieces(batch, column, limit):
                 yield fn(part)
+            pa.default_memory_pool().release_unused()
 
     importable(df.sparkSession)
     return df.mapInArrow(run, schema)

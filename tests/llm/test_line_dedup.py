@@ -84,3 +84,23 @@ def test_pipeline_removes_short_repeats(spark):
                 want.setdefault(i, set()).add(no)
             seen.add(line)
     assert {x.doc_id: set(x[name]) for x in out.collect() if x[name]} == want
+
+
+def test_repeated_ids_lose_no_text(spark):
+    a = "one two three four five six seven eight nine ten"
+    own = "this text repeats nothing at all and so it has to stay whole"
+    rows = [(1, a), (5, a), (5, a), (5, own), (5, own + "\n" + a + " eleven"), (None, own + " too"), (None, "short")]
+    df = spark.createDataFrame([(i, t, "", 1) for i, t in rows], SCHEMA)
+    out, name = line_dedup.deduplicated(df)
+    got = sorted(((r.doc_id, r.text) for r in out.collect()), key=repr)
+    assert got[:2] == [(1, a), (5, "")] and (5, "") in got[2:]
+    # the null id comes first, so that its near-equal line is the one that stays
+    assert (None, own + " too") in got and (None, "short") in got
+    left = {line for _, t in got for line in t.split("\n") if line}
+    for _, t in rows:
+        for line in t.split("\n"):
+            assert any(edit(line.split(), x.split()) <= 1 for x in left), line
+    # two documents of one id, each with a text of its own
+    two = [(5, "alpha " + a), (5, "beta gamma delta " + a)]
+    out, name = line_dedup.deduplicated(spark.createDataFrame([(i, t, "", 1) for i, t in two], SCHEMA))
+    assert sorted(r.text for r in out.collect()) == sorted(t for _, t in two)
