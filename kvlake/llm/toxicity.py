@@ -25,13 +25,14 @@ from kvlake.llm.common import arrow_map, fold, fresh, table, written
 from kvlake.llm.sampling import labelled
 
 PER_CLASS, FIELD_TEXTS, MOST_FEATURES = 3000, 600, 20000
+PIECE_BYTES, STEP = 1 << 20, 1 << 15  # text tagged at once, words whose features are made at once
 PREFIXES = (3, 4, 5, 6)
 SURE = -12.0  # log probability below which a feature isn't toxic by chance among some 100,000
 
 
-def token_features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Word starts and ends (bytes of all rows), each row's first word, and the feature hashes of each word (one row a word)."""
-    buf, starts, ends, first, h = textnum.words(texts, textnum.WORD)
+def features(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The feature hashes of words, one row a word. buf: lower-cased bytes."""
+    h = textnum.hashes(buf, starts, ends)
     out = np.empty((len(h), 1 + len(PREFIXES)), np.uint64)
     out[:, 0] = h
     if len(h):
@@ -41,12 +42,25 @@ def token_features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray,
         for k, n in enumerate(PREFIXES):
             out[:, 1 + k] = textnum.mix((eight & np.uint64((1 << (8 * n)) - 1)) + np.uint64(n << 56))
             out[ends - starts <= n, 1 + k] = h[ends - starts <= n]  # a prefix is shorter than its word
-    return starts, ends, first, out
+    return out
+
+
+def words_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Lower-cased bytes of all rows, word starts and ends in them, and each row's first word."""
+    buf, at = textnum.raw_bytes(texts)
+    buf = textnum.LOWER[buf]
+    return buf, *textnum.spans(buf, at, textnum.WORD)
+
+
+def token_features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Each row's first word, and the feature hashes of each word (one row a word)."""
+    buf, starts, ends, first = words_of(texts)
+    return first, features(buf, starts, ends)
 
 
 def _counts(batch: pa.RecordBatch) -> pa.RecordBatch:
     """How many toxic and other texts of the batch each feature occurs in."""
-    _, _, first, feats = token_features(batch.column(0))
+    first, feats = token_features(batch.column(0))
     label = batch.column(1).to_numpy()
     found: list[list[np.ndarray]] = [[], []]
     for k, (a, z) in enumerate(zip(first[:-1].tolist(), first[1:].tolist(), strict=True)):
@@ -83,16 +97,26 @@ class Tagger:
     def __init__(self, keys: np.ndarray, weights: np.ndarray, start: np.ndarray, move: np.ndarray, link: np.ndarray):
         self.lookup, self.weights, self.start, self.move, self.link = Lookup(keys), weights, start, move, link
 
-    def tag(self, feats: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """P(toxic) of each word."""
-        e = np.full(len(feats), self.weights[-1])
-        at, to = self.lookup(feats.ravel())
-        np.add.at(e, at // feats.shape[1], self.weights[to])
-        heads = np.unique(first[:-1][np.diff(first) > 0])
-        return crf.marginals(crf.potentials(e, heads, self.start, self.move))[0]
+    def tag(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """P(toxic) of each word. Features are made for ``STEP`` words at a time."""
+        e = np.full(len(starts), self.weights[-1])
+        for a in range(0, len(starts), STEP):
+            z = min(a + STEP, len(starts))
+            low = starts[a]
+            feats = features(buf[low : ends[z - 1]], starts[a:z] - low, ends[a:z] - low)
+            at, to = self.lookup(feats.ravel())
+            np.add.at(e, a + at // feats.shape[1], self.weights[to])
+        return crf.marginals(e, heads(first), self.start, self.move)[0]
 
     def score(self, p: np.ndarray, first: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(sums(p, first) @ self.link, -30, 30)))
+        x = sums(p, first)
+        z = x[:, 0] * self.link[0] + x[:, 1] * self.link[1] + x[:, 2] * self.link[2] + x[:, 3] * self.link[3]
+        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+
+def heads(first: np.ndarray) -> np.ndarray:
+    """The first words of the rows that have any."""
+    return first[:-1][np.diff(first) > 0]
 
 
 def sums(p: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -122,7 +146,7 @@ def _tokens(keys: np.ndarray):
     lookup = Lookup(keys)
 
     def tokens(batch: pa.RecordBatch) -> pa.RecordBatch:
-        _, _, first, feats = token_features(batch.column(0))
+        first, feats = token_features(batch.column(0))
         at, to = lookup(feats.ravel())
         at //= feats.shape[1]
         cut = np.searchsorted(at, first)
@@ -143,7 +167,7 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col:
     if not n1 or not n0:
         share = 1 - 1e-6 if n1 else 1e-6
         return Tagger(nothing, np.array([-10.0]), np.zeros(2), np.zeros((2, 2)), np.array([0.0, 0.0, 0.0, np.log(share / (1 - share))]))
-    counted = arrow_map(rows, _counts, "feature bigint, toxic bigint, other bigint", 0).groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
+    counted = arrow_map(rows, _counts, "feature bigint, toxic bigint, other bigint", 0, PIECE_BYTES).groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
     # the log probability that chance deals this few of the texts to the other class; below 1 / features it isn't chance
     share = n1 / (n1 + n0)
     total = F.col("toxic") + F.col("other")
@@ -156,7 +180,7 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col:
     keys = at[order]
     sure = np.array([r.chance for r in kept])[order] < SURE
 
-    texts = arrow_map(rows, _tokens(keys), "label int, n bigint, at binary, feature binary", 0).collect()
+    texts = arrow_map(rows, _tokens(keys), "label int, n bigint, at binary, feature binary", 0, PIECE_BYTES).collect()
     texts.sort(key=lambda r: (r.label, r.n, bytes(r.at), bytes(r.feature)))
     pick = np.random.default_rng(11)
     chosen = [pick.permutation([k for k, r in enumerate(texts) if r.label == y and r.n])[:FIELD_TEXTS] for y in (0, 1)]
@@ -180,7 +204,7 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col:
         first, tok, feat = chain(part)
         e = np.full(first[-1], w[-1])
         np.add.at(e, tok, w[feat])
-        p = crf.marginals(crf.potentials(e, np.unique(first[:-1][np.diff(first) > 0]), start, move))[0]
+        p = crf.marginals(e, heads(first), start, move)[0]
         x.append(sums(p, first))
         labels_of += [texts[k].label for k in part]
     known = np.array(labels_of, float)
@@ -198,23 +222,23 @@ def tagged(docs: DataFrame, model: Tagger, text_col: str = "text", text: str = "
 
     def tag(batch: pa.RecordBatch) -> pa.RecordBatch:
         model = shared.value
-        starts, ends, first, feats = token_features(batch.column(at))
-        p = model.tag(feats, first)
+        buf, starts, ends, first = words_of(batch.column(at))
+        p = model.tag(buf, starts, ends, first)
         score = model.score(p, first)
         bad = np.flatnonzero(p >= span_at)
         row = np.searchsorted(first, bad, "right") - 1
         new = np.concatenate([[True], (bad[1:] != bad[:-1] + 1) | (row[1:] != row[:-1])]) if len(bad) else np.zeros(0, bool)
-        heads = np.flatnonzero(new)
-        last = np.append(heads[1:], len(bad)) - 1 if len(heads) else heads
-        base = textnum.raw_bytes(batch.column(at))[1][:-1][row[heads]]
-        spans = pa.StructArray.from_arrays([pa.array(starts[bad[heads]] - base, pa.int32()), pa.array(ends[bad[last]] - base, pa.int32())], ["start", "stop"])
-        spans = pa.ListArray.from_arrays(pa.array(np.searchsorted(row[heads], np.arange(batch.num_rows + 1)), pa.int32()), spans)
+        runs = np.flatnonzero(new)
+        last = np.append(runs[1:], len(bad)) - 1 if len(runs) else runs
+        base = textnum.raw_bytes(batch.column(at))[1][:-1][row[runs]]
+        spans = pa.StructArray.from_arrays([pa.array(starts[bad[runs]] - base, pa.int32()), pa.array(ends[bad[last]] - base, pa.int32())], ["start", "stop"])
+        spans = pa.ListArray.from_arrays(pa.array(np.searchsorted(row[runs], np.arange(batch.num_rows + 1)), pa.int32()), spans)
         out = pa.StructArray.from_arrays([pa.array(score), pa.array((score >= 0.5).astype(np.int32)), spans], ["score", "predicted", "spans"])
         return pa.RecordBatch.from_arrays([batch.column(k) for k, c in enumerate(batch.schema.names) if c in kept] + [out], [*kept, name])
 
     kinds = dict(docs.dtypes)
     schema = ", ".join([f"`{c}` {kinds[c]}" for c in kept] + [f"`{name}` struct<score:double,predicted:int,spans:array<struct<start:int,stop:int>>>"])
-    return arrow_map(docs, tag, schema, at), name
+    return arrow_map(docs, tag, schema, at, PIECE_BYTES), name
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -222,4 +246,4 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = train(docs, table(spark, sf_dir, "labels").where(fold(5) != 0))
     out, name = tagged(docs.select("doc_id", (fold(5) == 0).alias("held_out"), "text"), model)
     t = F.col(name)
-    return out.select("doc_id", "held_out", t["score"].alias("score"), t["predicted"].alias("predicted"), F.size(t["spans"]).cast("long").alias("n_spans"))
+    return out.select("doc_id", "held_out", t["score"].alias("score"), t["predicted"].alias("predicted"), F.size(t["spans"]).cast("long").alias("n_spans"), t["spans"].alias("spans"))

@@ -85,7 +85,7 @@ def test_pairs_matter():
 def test_marginals_by_enumeration():
     r = np.random.default_rng(5)
     e, first, start, move = r.normal(size=9), np.array([0, 4]), r.normal(size=2), r.normal(size=(2, 2))
-    p = crf.marginals(crf.potentials(e, first, start, move))[0]
+    p = crf.marginals(e, first, start, move)[0]
     for a, z in ((0, 4), (4, 9)):
         total, on = 0.0, np.zeros(z - a)
         for y in itertools.product((0, 1), repeat=z - a):
@@ -95,15 +95,25 @@ def test_marginals_by_enumeration():
         assert np.allclose(p[a:z], on / total)
 
 
-def test_blocked_scan_is_the_plain_one():
+def test_marginals_are_the_plain_ones_and_the_same_in_any_company():
     r = np.random.default_rng(6)
-    m = r.random((20000, 2, 2)) + 0.01
-    out, v = crf._scan(m), np.array([0.5, 0.5])
-    for k in range(len(m)):
-        v = v @ m[k]
-        v /= v.sum()
-        if k % 997 == 0 or k > 19990:
-            assert np.allclose(out[k], v)
+    size = [1, 64, 5000, 63, 129, 2, 700]
+    e, start, move = r.normal(size=sum(size)) * 3, r.normal(size=2), r.normal(size=(2, 2))
+    first = np.cumsum(size) - size
+    p = crf.marginals(e, first, start, move)[0]
+    m = crf.potentials(e, first, start, move)
+    for a, n in zip(first.tolist(), size, strict=True):
+        assert (crf.marginals(e[a : a + n], np.array([0]), start, move)[0] == p[a : a + n]).all()
+        forward, backward = np.empty((n, 2)), np.empty((n, 2))
+        v, w = np.array([0.5, 0.5]), np.array([0.5, 0.5])
+        for k in range(n):
+            v = v @ m[a + k]
+            forward[k] = v = v / v.sum()
+            backward[n - 1 - k] = w
+            w = m[a + n - 1 - k] @ w
+            w /= w.sum()
+        both = forward * backward
+        assert np.allclose(p[a : a + n], both[:, 1] / both.sum(axis=1))
 
 
 def toxic_table(spark):
@@ -133,6 +143,21 @@ def test_toxic_held_out_texts_and_spans(spark):
     assert toxicity.tagged(odd.where("doc_id > 9"), model)[0].count() == 0
 
 
+def test_equal_texts_have_equal_toxicity_in_any_slice(spark):
+    df = toxic_table(spark)
+    model = toxicity.train(df, df.select("doc_id", "toxic"))
+    rows = [(i, f"{'x ' * (i % 7)}thing", 0, "") for i in range(300)] + [(1000 + i, "a vile badword and 64 more " * 9, 0, "") for i in range(40)]
+    random.Random(4).shuffle(rows)
+    out, name = toxicity.tagged(spark.createDataFrame(rows, df.schema).repartition(5), model)
+    assert len({x[name].score for x in out.where("doc_id >= 1000").collect()}) == 1
+    # a very long text in little memory, and nothing to learn from in an empty table
+    long = pa.array(["thing badword other " * 200000])
+    p = model.tag(*toxicity.words_of(long))
+    assert len(p) == 600000 and p[1] > 0.5 > p[0]
+    empty = df.where("doc_id < 0")
+    assert toxicity.tagged(empty, toxicity.train(empty, empty.select("doc_id", "toxic")))[0].count() == 0
+
+
 def test_toxic_without_labels(spark):
     df = toxic_table(spark)
     for labels in (df.where("doc_id < 0"), df.where("toxic = 0")):
