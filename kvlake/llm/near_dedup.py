@@ -16,8 +16,10 @@ node, in blocks of bounded size, and pairs within a component are left out. Jacc
 whose known distances to one leader differ by more than the links' bound can't be linked, and aren't compared.
 
 Defined results: null or empty texts have no set and are linked with nothing; texts of fewer words than a shingle are
-one shingle; rows that repeat a doc_id are told apart by their texts, and links of either text count for the id; a
-null doc_id is a document of its own class (component_id null, kept); extra columns are not looked at.
+one shingle; rows that repeat a doc_id are told apart by their texts but are one document: links of any of its texts
+count for the id, so all of them get one component_id; a null doc_id is a document of its own class (component_id
+null, kept); ids must be integers, others are read as null; extra columns are not looked at; an empty table gives an
+empty table.
 """
 
 from __future__ import annotations
@@ -209,8 +211,13 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", siz
     """id, n_shingles, component_id, kept for each row of ``docs`` (integer ids)."""
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
     sums = written(arrow_map(rows, _summaries(size), "id bigint, n bigint, s1 bigint, s2 bigint, code binary", 1), "near-sums")
-    sets = written(sums.where("n > 0 and id is not null").groupBy("s1", "s2").agg(F.min("id").alias("node")), "near-sets")
-    nodes = written(sums.where("n > 0").join(sets, ["s1", "s2"]).where("id = node").select("node", "code").distinct(), "near-nodes")
+    # equal sets have equal registers, so any row's will do
+    sets = written(sums.where("n > 0 and id is not null").groupBy("s1", "s2").agg(F.min("id").alias("node"), F.first("code").alias("code")), "near-sets")
+    nodes = sets.select("node", "code")
+    placed_rows = written(sums.select("id", "n", "s1", "s2").join(sets.select("s1", "s2", "node"), ["s1", "s2"], "left").select("id", "n", F.when(F.col("n") > 0, F.col("node")).alias("node")), "near-rows")
+    # an id with several texts links their nodes
+    several = placed_rows.where("id is not null and node is not null").groupBy("id").agg(F.min("node").alias("b"), F.max("node").alias("c")).where("b < c").select("id", "b")
+    own = placed_rows.join(several, "id").where("node <> b").select(F.col("node").alias("a"), "b").distinct()
 
     # buckets of more than one node, led by the node that meets most others
     keys = arrow_map(nodes, _keys, "node bigint, key bigint", 1, 1 << 20)
@@ -245,9 +252,9 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", siz
     dealt = dealt.select("g", "slot", "key", "node", "comp", "code", "sketch", "n", "lead", "far", F.lit(1 - percent / 100 + 1e-9).alias("bound"), F.least("own", "c").alias("ci"), F.greatest("own", "c").alias("cj"), (F.col("own") > F.col("c")).cast("int").alias("side"))
     pairs = dealt.groupBy("g", "slot", "ci", "cj").applyInPandas(_block_pairs, "a bigint, b bigint").distinct()
     more = written(_verified(written(pairs, "near-pairs"), texts, size, percent).where("good").select("a", "b").distinct(), "near-links")
-    comps = written(components(first.unionByName(more)), "near-comps")
+    comps = written(components(first.unionByName(more).unionByName(own)), "near-comps")
 
-    out = sums.join(sets, ["s1", "s2"], "left").withColumn("node", F.when(F.col("n") > 0, F.col("node"))).join(comps, "node", "left")
+    out = placed_rows.join(comps, "node", "left")
     comp = F.when(F.col("id").isNotNull(), F.coalesce("comp", "node", "id"))
     return out.select("id", F.col("n").alias("n_shingles"), comp.alias("component_id")).withColumn("kept", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)))
 

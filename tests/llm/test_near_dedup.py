@@ -61,6 +61,34 @@ def test_null_ids_repeats_and_empty(spark):
     assert nd.classes(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_repeated_ids_link_their_texts(spark):
+    """As brute force over rows, with the rows of one id linked."""
+    r = random.Random(8)
+    bases = [[f"{k}w{j}" for j in range(r.choice([6, 20, 60]))] for k in range(12)]
+    rows = []
+    for _ in range(60):
+        w = list(r.choice(bases))
+        if r.random() < 0.4:
+            w[r.randrange(len(w))] = "odd"
+        rows.append((r.randrange(40), " ".join(w)))
+    rows += [(103, bases[0][0]), (105, bases[0][0]), (105, "quite another text"), (109, "Quite another text")]
+    n = len(rows)
+    both = brute([(k, t) for k, (_, t) in enumerate(rows)], 5)
+    comp = {k: both[k][1] for k in range(n)}
+    for _ in range(n):
+        for a in range(n):
+            for b in range(n):
+                if (rows[a][0] == rows[b][0] or comp[a] == comp[b]) and comp[a] != comp[b]:
+                    low, high = sorted((comp[a], comp[b]))
+                    comp = {k: low if c == high else c for k, c in comp.items()}
+    least = {}
+    for k, c in comp.items():
+        least[c] = min(least.get(c, rows[k][0]), rows[k][0])
+    df = spark.createDataFrame([(i, t, "", 1) for i, t in rows], SCHEMA)
+    got = sorted((x.id, x.n_shingles, x.component_id) for x in nd.classes(df).collect())
+    assert got == sorted((rows[k][0], both[k][0], least[comp[k]]) for k in range(n))
+
+
 def test_estimates():
     r = np.random.default_rng(3)
     for n, share in ((5000, 0.9), (1000, 0.9), (1000, 0.5), (40, 0.9), (9, 0.9)):
