@@ -10,7 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kvlake.llm import decontaminate, line_dedup, mixing, near_dedup, toxicity
-from kvlake.llm.common import fold, table, written
+from kvlake.llm.common import fold, fresh, table, written
+
+
+#: Numbers from here on are no ids but those of rows that have no id to themselves.
+OWN_ROW = 1 << 62
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,9 +34,23 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near-duplicates (five words a shingle, similarity 0.8) stays: the one with the smallest doc_id."""
-    gone = near_dedup.classes(docs).where("not kept").select(F.col("id").alias("gone_id"))
-    return docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti").select(docs.columns)
+    """One row of each class of near-duplicates (five words a shingle, similarity 0.8) stays: the one with the smallest doc_id.
+
+    Classes are those of rows. Rows whose doc_id is null or occurs more than once are told apart by a number of their own,
+    from id and text, above all ids; of such rows that are equal in both, one stays.
+    """
+    row, again = fresh(docs, "row_id"), fresh(docs, "repeated_id")
+    repeated = written(docs.groupBy(F.col("doc_id").alias(again)).count().where(F.col(again).isNull() | (F.col("count") > 1)).select(again, F.lit(True).alias(again + "_")), "near-repeated")
+    if repeated.isEmpty():
+        rows = docs.withColumn(row, F.col("doc_id").cast("bigint"))
+    else:
+        own = F.shiftrightunsigned(F.xxhash64(F.col("doc_id").cast("string"), "text"), 2).bitwiseOR(F.lit(OWN_ROW))
+        rows = docs.join(repeated, docs["doc_id"].eqNullSafe(repeated[again]), "left").withColumn(row, F.when(F.col(again + "_"), own).otherwise(F.col("doc_id").cast("bigint")))
+    gone = near_dedup.classes(rows, id_col=row).where("not kept").select(F.col("id").alias("gone_id"))
+    left = rows.join(gone, rows[row] == gone["gone_id"], "left_anti")
+    if repeated.isEmpty():
+        return left.select(docs.columns)
+    return left.where(F.col(row) < OWN_ROW).unionByName(left.where(F.col(row) >= OWN_ROW).dropDuplicates([row])).select(docs.columns)
 
 
 def cut_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
