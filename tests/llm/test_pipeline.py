@@ -9,6 +9,31 @@ from kvlake.llm.common import fold
 SF = "/root/testdata/sf0.001"
 
 
+def jaccard(a, b):
+    sets = []
+    for t in (a, b):
+        w = t.lower().split()
+        sets.append({tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) > 4 else {tuple(w)})
+    return len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+
+
+def test_no_unique_text_goes_with_a_repeated_or_missing_id(spark):
+    a, b, z = (" ".join(f"{x}{k}" for k in range(30)) for x in "abz")
+    rows = [(3, a), (5, a), (5, b), (9, b), (9, b + " more"), (11, z), (None, z), (None, "only here"), (None, "only here"), (7, ""), (7, None), (7, "")]
+    docs = spark.createDataFrame([(i, t, "en", None, 1, "x") for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, row_id string")
+    out = cp.drop_near_copies(spark, docs, "")
+    assert out.columns == docs.columns
+    left = [(r.doc_id, r.text) for r in out.collect()]
+    for _, t in rows:
+        if t:
+            assert sum(bool(u) and jaccard(t, u) >= 0.8 for _, u in left) == 1, t
+    assert (3, a) in left and (11, z) in left
+    # all stages over such rows, and over none at all
+    for some in (docs, docs.where("doc_id > 99")):
+        for name, stage in cp.STAGES[1:3] + cp.STAGES[4:]:
+            stage(spark, some, "").collect()
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
 def test_each_stage_on_its_own_input(spark, tmp_path):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
