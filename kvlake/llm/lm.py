@@ -325,3 +325,22 @@ def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = train(docs.where(~held_out))
     out = scored(docs, model, extra={"held_out": held_out})
     return out.select(F.col("id").alias("doc_id"), "held_out", "n_tokens", "n_known", F.lit(model.total).cast("bigint").alias("train_tokens"), "base_score", "score", "perplexity")
+
+
+def lm_base_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of ``op7_lm_scoring`` that SQL can tell."""
+    return op7_lm_scoring(spark, sf_dir).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 3).alias("base_score"))
+
+
+# held_out: crc32 of the id's text, bit by bit: each byte is one event, eight shifts follow
+
+BASE_SQL = r"""
+WITH e AS (SELECT row_number() OVER () AS r, doc_id, text, flatten(list_transform(range(1, length(coalesce(doc_id::VARCHAR, '')) + 1), lambda k: [ascii(substr(doc_id::VARCHAR, k, 1))::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1])) AS ev FROM documents),
+d AS (SELECT r, doc_id, xor(list_reduce(ev, lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) ELSE xor(c >> 1, 3988292384 * (c & 1)) END, 4294967295::BIGINT), 4294967295::BIGINT) % 7 = 2 AS held_out,
+  list_append(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-]+'), '') AS ws FROM e),
+t AS (SELECT r, doc_id, held_out, w FROM d, unnest(ws) u(w)),
+c AS (SELECT w, count(*) AS n FROM t WHERE NOT held_out GROUP BY w),
+a AS (SELECT coalesce(sum(n), 0)::BIGINT AS total, count(*) AS types FROM c)
+SELECT doc_id, held_out, count(*)::BIGINT AS n_tokens, count(c.n)::BIGINT AS n_known, any_value(total) AS train_tokens, round(sum(log10((coalesce(c.n, 0) + 1)::DOUBLE / (total + types + 1))), 3) AS base_score
+FROM t LEFT JOIN c USING (w), a GROUP BY r, doc_id, held_out
+"""

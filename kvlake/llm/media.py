@@ -6,7 +6,8 @@ video track, so that any text can be put into a container and read back through
 
 Defined results: null content has no tracks; content that is no ISO media file, or a box that ends beyond its
 parent, gives the tracks found before it; a track without samples has no ranges; 32-bit, 64-bit and open-ended
-box sizes are read. Fragmented files (moof) give the samples of their moov alone.
+box sizes are read. Fragmented files (moof) give the samples of their moov alone. Boxes may nest to any depth; counts
+that a damaged table claims are cut to what its box and the other tables hold, and byte ranges to the file's end.
 """
 
 from __future__ import annotations
@@ -103,7 +104,8 @@ def _stbl(data: memoryview, start: int, end: int) -> dict:
     if b"stsz" in b and b[b"stsz"][0] + 12 <= b[b"stsz"][1]:
         s, e = b[b"stsz"]
         each, n = struct.unpack_from(">II", data, s + 4)
-        sizes = np.full(min(n, len(data)), each, np.int64) if each else _table(data, s, e, 1, 8).ravel()
+        # no more samples than start inside the file
+        sizes = np.full(min(n, len(data) // each + 1), each, np.int64) if each else _table(data, s, e, 1, 8).ravel()
     elif b"stz2" in b and b[b"stz2"][0] + 12 <= b[b"stz2"][1]:
         s, e = b[b"stz2"]
         bits, n = data[s + 7], int.from_bytes(data[s + 8 : s + 12], "big")
@@ -116,28 +118,34 @@ def _stbl(data: memoryview, start: int, end: int) -> dict:
             sizes = raw[: len(raw) // 2 * 2].view(">u2")[:n].astype(np.int64)
     if b"stco" in b:
         chunks = _table(data, *b[b"stco"], 1).ravel()
-    elif b"co64" in b:
-        t = _table(data, *b[b"co64"], 2)
+    elif b"co64" in b and b[b"co64"][0] + 8 <= b[b"co64"][1]:
         s, e = b[b"co64"]
         n = min(int.from_bytes(data[s + 4 : s + 8], "big"), (e - s - 8) // 8)
-        chunks = np.frombuffer(data, ">u8", n, s + 8).astype(np.int64) if len(t) or n else np.zeros(0, np.int64)
+        chunks = np.minimum(np.frombuffer(data, ">u8", n, s + 8), 1 << 62).astype(np.int64)
     else:
         chunks = np.zeros(0, np.int64)
     runs = _table(data, *b[b"stsc"], 3) if b"stsc" in b else np.zeros((0, 3), np.int64)
     per = np.zeros(len(chunks), np.int64)
     if len(runs) and len(chunks):
         per = runs[np.clip(np.searchsorted(runs[:, 0], np.arange(1, len(chunks) + 1), "right") - 1, 0, None), 1]
-    chunk = np.repeat(np.arange(len(chunks)), per)[: len(sizes)]
+    # samples a chunk, cut where the sizes end
+    upto = np.minimum(np.cumsum(np.minimum(per, len(sizes))), len(sizes))
+    per = np.diff(upto, prepend=0)
+    chunk = np.repeat(np.arange(len(chunks)), per)
     sizes = sizes[: len(chunk)]
     run = np.cumsum(sizes) - sizes
     first = np.searchsorted(chunk, chunk)
     offsets = chunks[chunk] + run - run[first] if len(chunk) else np.zeros(0, np.int64)
+    offsets = np.minimum(offsets, len(data))
+    sizes = np.minimum(sizes, len(data) - offsets)
     sync = np.ones(len(sizes), bool)
     if b"stss" in b:
         sync[:] = False
         k = _table(data, *b[b"stss"], 1).ravel() - 1
         sync[k[(k >= 0) & (k < len(sync))]] = True
-    return {"codec": codec, "offsets": offsets, "sizes": sizes, "ticks": int((times[:, 0] * times[:, 1]).sum()), "sync": sync}
+    # two 16-bit halves, so that no product overflows
+    ticks = int((times[:, 0] * (times[:, 1] >> 16)).sum()) * (1 << 16) + int((times[:, 0] * (times[:, 1] & 0xFFFF)).sum())
+    return {"codec": codec, "offsets": offsets, "sizes": sizes, "ticks": ticks, "sync": sync}
 
 
 def read_tracks(content: bytes | None) -> list[dict]:
@@ -147,23 +155,28 @@ def read_tracks(content: bytes | None) -> list[dict]:
         return tracks
     data = memoryview(content)
 
-    def visit(start: int, end: int, track: dict | None) -> None:
-        for kind, s, e in walk(data, start, end):
-            if kind == b"trak":
-                own = {"codec": "", "handler": "", "timescale": 0, "offsets": np.zeros(0, np.int64), "sizes": np.zeros(0, np.int64), "ticks": 0, "sync": np.zeros(0, bool)}
-                tracks.append(own)
-                visit(s, e, own)
-                own["duration"] = own["ticks"] / own["timescale"] if own["timescale"] else 0.0
-            elif track is not None and kind == b"mdhd" and e - s >= 20:
-                track["timescale"] = int.from_bytes(data[s + 20 : s + 24] if data[s] else data[s + 12 : s + 16], "big")
-            elif track is not None and kind == b"hdlr" and e - s >= 12:
-                track["handler"] = bytes(data[s + 8 : s + 12]).decode("latin-1")
-            elif track is not None and kind == b"stbl":
-                track |= _stbl(data, s, e)
-            elif kind in CONTAINERS:
-                visit(s, e, track)
-
-    visit(0, len(data), None)
+    nested: list[tuple[Iterator[tuple[bytes, int, int]], dict | None]] = [(walk(data, 0, len(data)), None)]
+    while nested:
+        boxes, track = nested[-1]
+        found = next(boxes, None)
+        if found is None:
+            nested.pop()
+            continue
+        kind, s, e = found
+        if kind == b"trak":
+            track = {"codec": "", "handler": "", "timescale": 0, "offsets": np.zeros(0, np.int64), "sizes": np.zeros(0, np.int64), "ticks": 0, "sync": np.zeros(0, bool)}
+            tracks.append(track)
+            nested.append((walk(data, s, e), track))
+        elif track is not None and kind == b"mdhd" and e - s >= (24 if data[s : s + 1] == b"\1" else 20):
+            track["timescale"] = int.from_bytes(data[s + 20 : s + 24] if data[s] else data[s + 12 : s + 16], "big")
+        elif track is not None and kind == b"hdlr" and e - s >= 12:
+            track["handler"] = bytes(data[s + 8 : s + 12]).decode("latin-1")
+        elif track is not None and kind == b"stbl":
+            track |= _stbl(data, s, e)
+        elif kind in CONTAINERS:
+            nested.append((walk(data, s, e), track))
+    for track in tracks:
+        track["duration"] = track["ticks"] / track["timescale"] if track["timescale"] else 0.0
     return tracks
 
 
@@ -226,3 +239,15 @@ def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     schema = f"doc_id {dict(docs.dtypes)['doc_id']}, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string"
     return arrow_map(docs, _digest, schema, 1)
+
+
+def media_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of ``op8_media_columns`` that SQL can tell: what was stored and read back."""
+    return op8_media_columns(spark, sf_dir).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256")
+
+
+PAYLOADS_SQL = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, strlen(coalesce(text, ''))::BIGINT AS n FROM documents),
+p AS (SELECT *, greatest((n + 63) // 64 * 64, 64)::BIGINT AS m FROM d)
+SELECT doc_id, n AS n_bytes, m AS payload_bytes, sha256(t || repeat(chr(0), (m - n)::INTEGER)) AS payload_sha256 FROM p
+"""

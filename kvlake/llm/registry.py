@@ -13,6 +13,9 @@ QUERIES = {
     "op8_media_columns": media.op8_media_columns,
     "op9_near_dedup": near_dedup.op9_near_dedup,
     "op10_quality": quality.op10_quality,
+    # columns of op7 and op8 that SQL can tell
+    "lm_base_scores": lm.lm_base_scores,
+    "media_payloads": media.media_payloads,
 }
 
 ORACLES = {
@@ -20,4 +23,6 @@ ORACLES = {
     "op5_decontaminate": decontaminate.OP5_SQL,
     "op6_line_dedup": line_dedup.OP6_SQL,
     "op9_near_dedup": near_dedup.OP9_SQL,
+    "lm_base_scores": lm.BASE_SQL,
+    "media_payloads": media.PAYLOADS_SQL,
 }

@@ -1,4 +1,5 @@
 import hashlib
+import random
 import struct
 import zlib
 
@@ -70,3 +71,41 @@ def test_columns_and_digest(spark, tmp_path):
         r = out[i]
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
     assert tuple(out[1])[1:] == tuple(out[5])[1:]
+
+
+def nest(kind, depth, inner=b""):
+    for _ in range(depth):
+        inner = media.box(kind, inner)
+    return inner
+
+
+def test_nesting_and_absurd_counts():
+    assert media.read_tracks(nest(b"moov", 30000)) == []
+    good = media.wrap(bytes(range(64)) * 3)
+    track = good[good.index(b"trak") - 4 :]
+    track = track[: struct.unpack(">I", track[:4])[0]]
+    assert len(media.read_tracks(nest(b"moov", 3000, track))) == 1
+    # as many samples a chunk as fit into the count, sizes without end, offsets beyond all files
+    for at, bad in ((b"stsc", struct.pack(">IIIII", 0, 1, 1, 0xFFFFFFFF, 1)), (b"stsz", struct.pack(">III", 0, 1, 0xFFFFFFFF)), (b"stts", struct.pack(">IIII", 0, 1, 0xFFFFFFFF, 0xFFFFFFFF)), (b"stco", struct.pack(">III", 0, 0xFFFFFFFF, 0xFFFFFFFF))):
+        k = good.index(at) + 4
+        broken = good[:k] + bad + good[k + len(bad) :]
+        for t in media.read_tracks(broken):
+            assert len(t["sizes"]) <= len(broken) and (t["sizes"] >= 0).all() and (t["offsets"] + t["sizes"] <= len(broken)).all()
+            assert t["ticks"] >= 0 and len(media.read_samples(broken, t)) <= len(broken) * max(len(t["sizes"]), 1)
+
+
+def test_any_bytes_are_read():
+    r = random.Random(5)
+    kinds = [b"moov", b"trak", b"mdia", b"minf", b"stbl", b"stsd", b"stts", b"stsc", b"stsz", b"stz2", b"stco", b"co64", b"stss", b"mdhd", b"hdlr", b"free"]
+
+    def some(depth):
+        body = b"".join(some(depth - 1) for _ in range(r.randint(0, 4))) if depth and r.random() < 0.8 else bytes(r.choice([0, 0, 1, 255, r.randrange(256)]) for _ in range(r.randint(0, 40)))
+        size = r.choice([8 + len(body)] * 8 + [0, 1, 7, 0xFFFFFFFF])
+        return struct.pack(">I", size) + r.choice(kinds) + body
+
+    for _ in range(3000):
+        data = some(6)
+        for t in media.read_tracks(data):
+            assert len(t["offsets"]) == len(t["sizes"]) == len(t["sync"]) and t["duration"] >= 0
+            media.read_samples(data, t)
+            media.feature(t)
