@@ -4,7 +4,9 @@ Each source has a target in words; the ratio of target to size says how many cop
 holds on average. Its whole part is allocated as certain copies. The rest is an unequal-probability sample:
 a document with inclusion probability p and a uniform u ranks at ``(u / (1 - u)) / (p / (1 - p))`` (Rosen's
 Pareto order sampling) and the source takes documents in rank order up to the fixed size in words that is
-still open. The cut is found by two histograms of the ranks, so no task ever sorts a whole source.
+still open. The cut is found by two histograms of the ranks, so no task ever sorts a whole source; a source with
+nothing open (one at its bound) has no cut. Rows of one rank (null or repeated ids) are cut in ``TIES`` parts, one after
+the other. The windows over sources run over one row a source in one task.
 
 Defined results: null texts have size 0 and are never repeated in words; a null source is a source of its
 own, last in order; sources of size 0 have target 0; rows that repeat an id have the same rank and are cut one
@@ -19,7 +21,7 @@ from pyspark.sql import functions as F
 from kvlake.llm.common import table, written
 
 WORDS = r"[^\x20\x09-\x0D]+"
-WEIGHTS, MOST_COPIES, BINS = (1, 2, 3), 3, 4096
+WEIGHTS, MOST_COPIES, BINS, TIES = (1, 2, 3), 3, 4096, 256
 
 
 def uniform(id_text: Column, seed: str) -> Column:
@@ -51,7 +53,7 @@ def source_targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: i
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, most: int = MOST_COPIES, seed: str = "mix-1") -> DataFrame:
     """One row a document: id, source, size, source_size, target, copies (0 to ``most``), taken = size * copies."""
-    sized = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.coalesce(F.regexp_count(text_col, F.lit(WORDS)), F.lit(0)).cast("long").alias("size"))
+    sized = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.coalesce(F.regexp_count(text_col, F.lit(WORDS)), F.lit(0)).cast("long").alias("size"), F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(TIES)).alias("tie"))
     sized = written(sized, "mix-sizes")
     sources = written(source_targets(sized, weights, most), "mix-sources").withColumnRenamed("source", "s")
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
@@ -71,7 +73,7 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
         first = F.min(F.when(F.col("upto") > F.col("rest"), F.struct(key, F.col("upto") - F.col("words"))))
         return counted.groupBy("source").agg(first.alias("c"))
 
-    coarse = crossing(x.groupBy("source", "rest", "coarse").agg(F.sum("size").alias("words")), "coarse", F.lit(0))
+    coarse = crossing(x.where("rest > 0").groupBy("source", "rest", "coarse").agg(F.sum("size").alias("words")), "coarse", F.lit(0))
     coarse = coarse.select(F.col("source").alias("s"), F.col("c.coarse").alias("cut"), F.col("c.col2").alias("before")).where("cut is not null")
     inside = x.join(coarse, F.col("source").eqNullSafe(F.col("s")) & (F.col("coarse") == F.col("cut"))).drop("s")
     fine = crossing(inside.groupBy("source", "rest", "bin", "before").agg(F.sum("size").alias("words")), "bin", F.col("before"))
@@ -79,9 +81,16 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
 
     x = x.join(cuts, F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
     clear = F.col("cut").isNull() | (F.col("bin") != F.col("cut"))
-    run = F.sum("size").over(Window.partitionBy("source", "cut").orderBy("rank", "id").rowsBetween(Window.unboundedPreceding, 0))
-    # a document on the border is taken if that brings the sum nearer to the target
-    edge = x.where(~clear).withColumn("extra", (F.col("before") + run - F.col("size") / 2 <= F.col("rest")))
+    # a document on the border is taken if that brings the sum nearer to the target. Sums run over the parts first, then in each
+    edge, one = x.where(~clear), ["source", "rank", "id", "tie"]
+    upto = lambda by, order: F.sum("size").over(Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    parts = edge.groupBy(*one).agg(F.sum("size").alias("size")).withColumn("ahead", upto(["source"], ["rank", "id", "tie"]) - F.col("size"))
+    parts = parts.select(*[F.col(c).alias("part_" + c) for c in one], "ahead")
+    same = F.lit(True)
+    for c in one:
+        same &= F.col(c).eqNullSafe(F.col("part_" + c))
+    edge = edge.join(parts, same).withColumn("extra", F.col("before") + F.col("ahead") + upto(one, ["size"]) - F.col("size") / 2 <= F.col("rest"))
+    edge = edge.select(*x.columns, "extra")
     sure = x.where(clear).withColumn("extra", F.col("cut").isNull() | (F.col("bin") < F.col("cut")))
     out = sure.unionByName(edge)
     copies = (F.col("certain") + (F.col("extra") & (F.col("certain") < most) & (F.col("rest") > 0)).cast("long")).cast("int")

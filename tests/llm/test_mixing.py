@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from kvlake.llm import mixing
 
@@ -45,3 +46,16 @@ def test_one_source_and_empty(spark):
     assert mixing.mixed(spark.createDataFrame([], SCHEMA)).count() == 0
     none = mixing.mixed(spark.createDataFrame([(1, None, None, None)], SCHEMA)).collect()
     assert [(r.taken, r.target, r["size"]) for r in none] == [(0, 0.0, 0)]
+
+
+def test_capped_source_and_rows_without_an_id(spark):
+    """A source at its bound takes three copies of all it has; equal rows without an id are cut in parts, none of them large."""
+    rows = docs({"a": 5, "b": 300}, 9) + [(None, "w w w", "c", "")] * 1500 + [(7, "w w", "c", "")] * 500
+    got = mixing.mixed(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert len(got) == len(rows) and {r.copies for r in got if r.source == "a"} == {3}
+    for s in "abc":
+        own = [r for r in got if r.source == s]
+        assert abs(sum(r.taken for r in own) - own[0].target) <= 9
+    assert sorted({r.copies for r in got if r.doc_id is None}) in ([0, 1], [1, 2], [1], [2], [0])
+    sized = spark.createDataFrame(rows, SCHEMA).select(F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(mixing.TIES)).alias("tie"))
+    assert max(r["count"] for r in sized.groupBy("tie").count().collect()) < len(rows) / 40
