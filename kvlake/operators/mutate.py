@@ -46,7 +46,7 @@ def to_log(spark: SparkSession, rows: list[tuple]) -> DataFrame:
 
 def delete_range(log: DataFrame, low: bytes | None, high: bytes | None, seq: int, batch_id: int, **shown) -> DataFrame:
     """Tombstones for the visible keys in [low, high]; all share ``seq``, as each key occurs once."""
-    found = view.scan(log, low, high, **shown).select("key")
+    found = view.live(view.in_range(log, low, high), **shown).select("key")
     return found.select("key", F.lit(None).cast("binary").alias("value"), F.lit(DELETE).alias("op"), F.lit(seq).cast("long").alias("seq"), F.lit(batch_id).cast("long").alias("batch_id"), F.lit(None).cast("long").alias("expiry_ms"))
 
 

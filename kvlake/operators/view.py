@@ -34,7 +34,8 @@ def live(log: DataFrame, now_ms: int | Column | None = None, keep: Filter | None
     return newest(log, as_of_seq).where(visible(now_ms, keep)).select("key", "value")
 
 
-def _range(log: DataFrame, low: bytes | None, high: bytes | None) -> DataFrame:
+def in_range(log: DataFrame, low: bytes | None, high: bytes | None) -> DataFrame:
+    """The mutations of keys in [low, high]."""
     inside = keys.between(F.col("key"), low, high)
     return log if inside is None else log.where(inside)
 
@@ -42,7 +43,7 @@ def _range(log: DataFrame, low: bytes | None, high: bytes | None) -> DataFrame:
 def scan(log: DataFrame, low: bytes | None = None, high: bytes | None = None, descending: bool = False, limit: int | None = None, **view) -> DataFrame:
     """Pairs with keys in [low, high] in key order. Bounds filter the log itself; a limit becomes a top-k without a full sort."""
     key = F.col("key")
-    out = live(_range(log, low, high), **view).orderBy(key.desc() if descending else key.asc())
+    out = live(in_range(log, low, high), **view).orderBy(key.desc() if descending else key.asc())
     return out if limit is None else out.limit(limit)
 
 
@@ -70,19 +71,22 @@ def multi_get(log: DataFrame, wanted: DataFrame, **view) -> DataFrame:
 
 def count(log: DataFrame, low: bytes | None = None, high: bytes | None = None, **view) -> DataFrame:
     """One row: the exact number ``n`` of visible keys in a range."""
-    return live(_range(log, low, high), **view).agg(F.count("*").alias("n"))
+    return live(in_range(log, low, high), **view).agg(F.count("*").alias("n"))
 
 
 def approx_count(log: DataFrame, low: bytes | None = None, high: bytes | None = None, error: float = 0.02) -> DataFrame:
     """One row: about how many keys ``n`` a range of the log mentions, by a sketch; ignores deletes, expiry and filter."""
-    return _range(log, low, high).agg(F.approx_count_distinct("key", error).alias("n"))
+    return in_range(log, low, high).agg(F.approx_count_distinct("key", error).alias("n"))
 
 
 def changed(log: DataFrame, since_seq: int, until_seq: int | None = None, now_ms: int | None = None, keep: Filter | None = None) -> DataFrame:
-    """key, before, after: keys whose visible value differs between two points of the log; null where there is none."""
-    a = live(log, now_ms, keep, since_seq).withColumnRenamed("value", "before")
-    b = live(log, now_ms, keep, until_seq).withColumnRenamed("value", "after")
-    return a.join(b, "key", "full").where(~F.col("before").eqNullSafe(F.col("after")))
+    """key, before, after: keys whose visible value differs between two points of the log; null where there is none. One aggregate finds both versions."""
+    row = F.struct("op", "value", "expiry_ms")
+    at = lambda seq: F.max_by(row, F.col("seq") if seq is None else F.when(F.col("seq") <= seq, F.col("seq")))
+    both = log.groupBy("key").agg(at(since_seq).alias("a"), at(until_seq).alias("b"))
+    for side, name in (("a", "before"), ("b", "after")):
+        both = both.select("*", f"{side}.*").withColumn(name, F.when(visible(now_ms, keep), F.col("value"))).drop("op", "value", "expiry_ms")
+    return both.select("key", "before", "after").where(~F.col("before").eqNullSafe(F.col("after")))
 
 
 def compacted(log: DataFrame, now_ms: int | None = None, keep: Filter | None = None, whole_history: bool = False) -> DataFrame:

@@ -30,8 +30,9 @@ Filter = Callable[[Column, Column], Column]
 class Options:
     """Settings of a store; out-of-range values raise ValueError.
 
-    The block cache and the write-ahead log's sync mode have no counterpart that Spark leaves to us: pages are cached by
-    the operating system, and a commit is durable once its manifest is there. They are kept so that settings carry over.
+    The block cache has no counterpart that Spark leaves to us: pages are cached by the operating system. Its settings are
+    kept so that they carry over. ``shared``: other processes append to the store as well; transactions and swaps are then
+    committed as files, at the very version that they were checked against.
     """
 
     memtable_size_threshold: int = 4 << 20
@@ -48,6 +49,7 @@ class Options:
     wal_sync_interval_ms: int = 200
     in_memory: bool = False
     target_file_bytes: int = 128 << 20
+    shared: bool = False
 
     def __post_init__(self):
         def need(ok: bool, name: str, rule: str) -> None:

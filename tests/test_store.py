@@ -1,5 +1,6 @@
 import glob
 import os
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,7 +9,9 @@ from kvlake import shell
 from kvlake.operators.mutate import WriteBatch
 from kvlake.schema import Options
 from kvlake.sources.manifest import ConcurrentCommit, Manifest, ManifestLog
+from kvlake.sources import store as store_module
 from kvlake.sources.store import Store, TransactionConflict, write_json_batch
+from kvlake.sources.wal import Wal
 from kvlake.streaming.ingest import ingest
 
 
@@ -62,7 +65,8 @@ def test_damaged_manifest_falls_back(spark, tmp_path):
     with open(newest, "r+b") as f:
         f.seek(30)
         f.write(b"#")
-    assert pairs(Store(spark, path).scan()) == [(b"a", b"1")]
+    s = Store(spark, path)
+    assert pairs(s.scan()) == [(b"a", b"1")]
     s.append(spark.createDataFrame([(bytearray(b"c"), bytearray(b"3"))], "key binary, value binary"))
     assert pairs(s.scan()) == [(b"a", b"1"), (b"c", b"3")]
 
@@ -184,3 +188,151 @@ def test_batch_is_whole_or_nothing(spark, tmp_path):
     assert s.count() == 0
     s.write(WriteBatch())
     assert s.stats().memtable_entries == 0
+
+
+def frame(spark, *rows):
+    return spark.createDataFrame([(bytearray(k), bytearray(v)) for k, v in rows], "key binary, value binary")
+
+
+def test_appends_that_overlap_are_ordered_by_their_commits(spark, tmp_path):
+    """Both are written before either commits; the one that commits later is newer."""
+    path = str(tmp_path / "db")
+    a, b = Store(spark, path), Store(spark, path)
+    commit = a._commit
+
+    def late(*args):
+        b.append(frame(spark, (b"k", b"first")))
+        return commit(*args)
+
+    a._commit = late
+    a.append(frame(spark, (b"k", b"second")))
+    assert a.get(b"k") == b.get(b"k") == b"second"
+    seqs = [r.seq for r in a.log().collect()]
+    assert len(seqs) == len(set(seqs)) == 2
+    a._commit = commit
+    # a buffered put is newer than what others commit, before its flush and after
+    a.put(b"k", b"buffered")
+    b.append(frame(spark, (b"k", b"other")))
+    assert a.get(b"k") == b"buffered" and b.get(b"k") == b"other"
+    a.flush()
+    assert a.get(b"k") == b.get(b"k") == b"buffered"
+
+
+def test_shared_store_checks_the_version_it_commits_to(spark, tmp_path):
+    path = str(tmp_path / "db")
+    a, b = Store(spark, path, Options(shared=True)), Store(spark, path)
+    assert a.compare_and_swap(b"k", None, b"1") and not a.compare_and_swap(b"k", None, b"2") and a.stats().memtable_entries == 0
+    t = a.begin()
+    assert t.get(b"k") == b"1"
+    t.put(b"k", b"mine")
+    write = a._write_files
+    a._write_files = lambda *x: (b.append(frame(spark, (b"k", b"theirs"))), write(*x))[1]  # between check and commit
+    with pytest.raises(TransactionConflict):
+        t.commit()
+    a._write_files = write
+    assert a.get(b"k") == b"theirs"
+    t = a.begin()
+    t.put(b"n", b"1")
+    t.commit()
+    assert b.get(b"n") == b"1"
+
+
+def test_replayed_micro_batch_is_passed_over(spark, tmp_path):
+    s = Store(spark, str(tmp_path / "db"))
+    old = frame(spark, (b"k", b"old"))
+    assert s.append(old, stream=("q", 3))
+    s.append(frame(spark, (b"k", b"new")))
+    assert not s.append(old, stream=("q", 3)) and not s.append(old, stream=("q", 2)) and s.get(b"k") == b"new"
+    assert s.append(old, stream=("other", 3)) and s.append(frame(spark, (b"k", b"next")), stream=("q", 4)) and s.get(b"k") == b"next"
+
+
+def test_stream_is_known_by_its_query(spark, tmp_path):
+    src = str(tmp_path / "in")
+    frame(spark, (b"k", b"1")).coalesce(1).write.parquet(src)
+    s = Store(spark, str(tmp_path / "db"))
+    query = ingest(spark.readStream.schema("key binary, value binary").parquet(src), s, str(tmp_path / "cp"))
+    query.awaitTermination(60)
+    assert list(s._manifest().streams) == [str(query.id)]
+
+
+def test_relative_path_and_path_without_a_log(spark, tmp_path, monkeypatch):
+    monkeypatch.chdir(tmp_path)
+    at = spark.sparkContext._jvm.java.lang.System.getProperty("user.dir")
+    name = os.path.relpath(str(tmp_path / "reldb"), at)
+    with Store(spark, name) as s:
+        s.put(b"a", b"1")
+    assert os.path.isdir(tmp_path / "reldb" / "wal")
+    assert Store(spark, name).get(b"a") == Store(spark, str(tmp_path / "reldb")).get(b"a") == b"1"
+    # a file system that isn't mounted: each write is committed, or with wal_sync none at the end
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    (tmp_path / "far").mkdir()
+    conf.set("fs.viewfs.mounttable.far.link./db", f"file://{tmp_path}/far")
+    with Store(spark, "viewfs://far/db") as s:
+        s.put(b"a", b"1")
+        assert s.stats().file_count == 1 and s.stats().wal_bytes == -1
+        s.append(frame(spark, (b"b", b"2")))
+    assert pairs(Store(spark, "viewfs://far/db").scan()) == [(b"a", b"1"), (b"b", b"2")]
+    with Store(spark, "viewfs://far/db", Options(wal_sync="none")) as s:
+        s.put(b"c", b"3")
+        assert s.stats().file_count == 2
+    assert Store(spark, "viewfs://far/db").get(b"c") == b"3"
+
+
+def test_recovery_after_a_flush_that_left_its_log(spark, tmp_path):
+    s = Store(spark, str(tmp_path / "db"))
+    s.put(b"a", b"1")
+    s._wal.clear = lambda: None  # gone between commit and clearing the log
+    s.flush()
+    s.append(frame(spark, (b"a", b"2")))
+    s.close()
+    s = Store(spark, str(tmp_path / "db"))
+    assert s.stats().memtable_entries == 0 and s.get(b"a") == b"2"
+    s.put(b"a", b"3")
+    s.close()
+    assert Store(spark, str(tmp_path / "db")).get(b"a") == b"3"
+
+
+def test_periodic_sync(tmp_path):
+    w = Wal(str(tmp_path / "log"), "periodic", 20)
+    w.append([(b"k", b"v", "put", 1, 1, None)])
+    for _ in range(200):
+        if w.synced():
+            break
+        time.sleep(0.02)
+    assert w.synced()
+    w.close()
+    assert len(Wal(str(tmp_path / "log")).rows) == 1
+
+
+def test_files_are_described_by_their_footers(spark, tmp_path):
+    s = Store(spark, str(tmp_path / "db"), Options(target_file_bytes=1000))
+    rows = [(b"k%05d" % k, b"v%d" % (k * 7919 % 1009)) for k in range(3000)]
+    s.append(frame(spark, *rows))
+    described = s._described(s._manifest().files[0].path.rpartition("/")[0])
+    s.compact()
+    m = s._manifest()
+    assert len(m.files) > 3 and sum(f.rows for f in m.files) == 3000 and all(f.base == 0 for f in m.files)
+    assert [bytes.fromhex(f.low) for f in m.files] == sorted(bytes.fromhex(f.low) for f in m.files)
+    assert s.approximate_count() == 3000 and 10 <= s.approximate_count(b"k00010", b"k00019") < 3000 and s.approximate_count(b"z") == 0
+    s.put(b"k00011", b"x")
+    s.delete(b"k00012")
+    inside = s._manifest().files[0]
+    assert s.approximate_count(b"k00010", b"k00019") == 1 + sum(f.rows_in(b"k00010", b"k00019") for f in s._manifest().files) and inside.rows_in(None, None) == inside.rows
+    # the scan tells the same
+    here, store_module._local = store_module._local, lambda path: None
+    try:
+        scanned = s._described(m.files[0].path.rpartition("/")[0])
+    finally:
+        store_module._local = here
+    assert [(f, n, size, a, z) for f, n, size, a, z, *_ in scanned] == [(f, n, size, a, z) for f, n, size, a, z, *_ in s._described(m.files[0].path.rpartition("/")[0])]
+    assert described[0][6] == 0
+
+
+def test_many_files_are_described_in_tasks(spark, tmp_path, monkeypatch):
+    s = Store(spark, str(tmp_path / "db"), Options(target_file_bytes=1000))
+    s.append(frame(spark, *[(b"k%05d" % k, b"v%d" % (k * 7919 % 1009)) for k in range(3000)]))
+    s.compact()
+    name = s._manifest().files[0].path.rpartition("/")[0]
+    alone = s._described(name)
+    monkeypatch.setattr(store_module, "DRIVER_FOOTERS", 0)
+    assert s._described(name) == alone
