@@ -108,6 +108,12 @@ def _codec(s: SparkSession, d: str) -> DataFrame:
     name, base = codec.json_columns(F.col("key"), F.col("value"))
     return back.select(name, F.decode("value", "UTF-8").alias("text"), base.alias("base64"), "expiry_ms", "stored_bytes", "shown")
 
+def _approx(s: SparkSession, d: str) -> DataFrame:
+    """Whether the sketch of a range's keys comes within a tenth of their exact number, and that number."""
+    log = event_log(s, d)
+    n = view.approx_count(log, LOW, HIGH).first().n
+    return view.in_range(log, LOW, HIGH).agg(F.count_distinct("key").alias("keys")).select("keys", (F.abs(F.lit(n) - F.col("keys")) <= 0.1 * F.col("keys")).alias("near"))
+
 
 QUERIES = {
     "live_scan_full": lambda s, d: text(view.live(event_log(s, d))),
@@ -122,7 +128,8 @@ QUERIES = {
     "multi_get": lambda s, d: text(view.multi_get(event_log(s, d), wanted_keys(s, d))),
     "key_exists": lambda s, d: view.exists(event_log(s, d), b"user:000042"),
     "exact_count_range": lambda s, d: view.count(event_log(s, d), LOW, HIGH),
-    "approx_count_range": lambda s, d: view.approx_count(event_log(s, d), LOW, HIGH),
+    "approx_count_range": _approx,
+    "changed_with_filter": lambda s, d: text(view.changed(event_log(s, d), AS_OF, 2 * AS_OF, NOW_MS, odd_value)),
     "ttl_live": lambda s, d: text(view.live(event_log(s, d), NOW_MS)),
     "filter_live": lambda s, d: text(view.live(event_log(s, d), keep=odd_value)),
     "snapshot_as_of": lambda s, d: text(view.scan(event_log(s, d), LOW, HIGH, as_of_seq=AS_OF)),
@@ -161,6 +168,9 @@ ORACLES = {
     "multi_get": f"{_T} SELECT w.key, v.value FROM (SELECT 'user:' || lpad(i::VARCHAR, 6, '0') AS key FROM range(0, 600, 3) r(i)) w LEFT JOIN v ON w.key = v.key",
     "key_exists": f"{_T} SELECT count(*) > 0 AS found FROM v WHERE key = 'user:000042'",
     "exact_count_range": f"{_T} SELECT count(*) AS n FROM v WHERE key BETWEEN 'user:000010' AND 'user:000040'",
+    "approx_count_range": f"WITH {_L} SELECT count(DISTINCT key) AS keys, true AS near FROM l WHERE key BETWEEN 'user:000010' AND 'user:000040'",
+    "changed_with_filter": f"""WITH {_L}, {", ".join(f"{x} AS (SELECT key, value FROM ({_NEWEST.format('(SELECT * FROM l WHERE seq <= ' + str(n) + ') q')}) z WHERE op = 'put' AND (expiry_ms IS NULL OR expiry_ms > {NOW_MS}) AND split_part(value, '#', 2)::BIGINT % 2 = 1)" for x, n in (("a", AS_OF), ("b", 2 * AS_OF)))}
+SELECT coalesce(a.key, b.key) AS key, a.value AS before, b.value AS after FROM a FULL JOIN b ON a.key = b.key WHERE a.value IS DISTINCT FROM b.value""",
     "ttl_live": f"{_T} SELECT key, value FROM t WHERE op = 'put' AND (expiry_ms IS NULL OR expiry_ms > {NOW_MS})",
     "filter_live": f"{_T} SELECT key, value FROM v WHERE split_part(value, '#', 2)::BIGINT % 2 = 1",
     "snapshot_as_of": f"WITH {_L}, s AS (SELECT * FROM l WHERE seq <= {AS_OF}), t AS ({_NEWEST.format('s')}) SELECT key, value FROM t WHERE op = 'put' AND key BETWEEN 'user:000010' AND 'user:000040'",

@@ -1,6 +1,11 @@
+import base64
 import glob
+import json
 import os
+import threading
 import time
+import urllib.error
+import urllib.request
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,6 +14,7 @@ from kvlake import shell
 from kvlake.operators.mutate import WriteBatch
 from kvlake.schema import Options
 from kvlake.sources.manifest import ConcurrentCommit, Manifest, ManifestLog
+from kvlake.sources import http
 from kvlake.sources import store as store_module
 from kvlake.sources.store import Store, TransactionConflict, write_json_batch
 from kvlake.sources.wal import Wal
@@ -336,3 +342,31 @@ def test_many_files_are_described_in_tasks(spark, tmp_path, monkeypatch):
     alone = s._described(name)
     monkeypatch.setattr(store_module, "DRIVER_FOOTERS", 0)
     assert s._described(name) == alone
+
+
+def test_http_shapes(spark, tmp_path):
+    s = Store(spark, str(tmp_path / "db"))
+    run = http.server(s)
+    threading.Thread(target=run.serve_forever, daemon=True).start()
+
+    def ask(method, path, body=None):
+        r = urllib.request.Request(f"http://127.0.0.1:{run.server_port}/v1/{path}", data=body, method=method)
+        try:
+            with urllib.request.urlopen(r, timeout=60) as x:
+                return x.status, x.read()
+        except urllib.error.HTTPError as e:
+            return e.code, e.read()
+
+    assert ask("GET", "keys/users/1") == (404, b"")
+    assert ask("PUT", "keys/users/1", b"\x00one") == (204, b"") and ask("GET", "keys/users/1") == (200, b"\x00one")
+    ops = [{"op": "put", "key": "users/2", "value": "dHdv"}, {"op": "put", "key": "x"}, {"op": "delete", "key": "no"}]
+    assert ask("POST", "batch", json.dumps(ops).encode()) == (204, b"")
+    pair = lambda k, v: {"key": k, "value": base64.b64encode(v).decode()}
+    assert json.loads(ask("GET", "scan?prefix=users/&from=zzz")[1]) == [pair("users/1", b"\x00one"), pair("users/2", b"two")]
+    assert json.loads(ask("GET", "scan?from=users/2")[1]) == [pair("users/2", b"two"), pair("x", b"")]
+    assert json.loads(ask("GET", "scan?to=users/1")[1]) == [pair("users/1", b"\x00one")]
+    assert ask("DELETE", "keys/x") == (204, b"") and ask("GET", "keys/x")[0] == 404
+    stats = json.loads(ask("GET", "stats")[1])
+    assert set(stats) == set(http.STATS.values()) and stats["memTableEntryCount"] == 4
+    assert ask("POST", "batch", b"{")[0] == ask("POST", "batch", b'[{"op": "twist", "key": "a"}]')[0] == 400 and ask("GET", "else")[0] == 404
+    run.shutdown()
