@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,8 +17,11 @@ _scratch: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share: ``spark.checkpoint.dir``, or a test folder where it is unset."""
-    return spark.conf.get("spark.checkpoint.dir", None) or TEST_DIR
+    """Folder that driver and executors share: ``spark.checkpoint.dir``. Where it is unset, a test folder on a local master, and an error on a cluster."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared is None and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return shared or TEST_DIR
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -52,7 +56,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def fresh(df: DataFrame, name: str) -> str:
     """``name``, lengthened until ``df`` has no such column in any case."""
-    taken = {c.lower() for c in df.columns}
+    return unused(name, df.columns)
+
+
+def unused(name: str, names: Iterable[str]) -> str:
+    """``name``, lengthened until it isn't among ``names`` in any case."""
+    taken = {c.lower() for c in names}
     while name.lower() in taken:
         name += "_"
     return name

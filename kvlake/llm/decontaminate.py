@@ -25,27 +25,40 @@ from kvlake.llm import textnum
 from kvlake.llm.common import arrow_map, fresh, table, written
 from kvlake.llm.fm_index import FMIndex
 
-WINDOW, SHARD_BYTES, BLOCK_BYTES = 10, 6 << 20, 16 << 20
+WINDOW, SHARD_BYTES, BLOCK_BYTES = 10, 6 << 20, 8 << 20
+SEARCHED = 1 << 18  # windows searched for at once
 
 
 class Windows:
-    """The distinct windows of a block of items, as symbols of the block's vocabulary, grouped by length."""
+    """The distinct windows of a block of items, by length, as places in the items' words (symbols of the block's vocabulary).
+
+    Windows are told apart by 128-bit hashes and never copied out, so a block takes some twenty times its bytes while it is built.
+    """
 
     def __init__(self, ids: list[str], texts: list[str], window: int):
-        _, starts, ends, first, h = textnum.words(pa.array(texts, pa.string()), textnum.WORD)
+        _, _, _, first, h = textnum.words(pa.array(texts, pa.string()), textnum.WORD)
         self.ids = np.array(ids, object)
-        self.vocabulary, symbol = np.unique(h, return_inverse=True)
-        by_size: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
-        for k in range(len(ids)):
-            own = symbol[first[k] : first[k + 1]] + 1
-            if len(own):
-                w = np.lib.stride_tricks.sliding_window_view(own, min(window, len(own)))
-                by_size.setdefault(w.shape[1], []).append((w, np.full(len(w), k)))
-        # length -> distinct windows; and for each (window, item) pair the window's number and the item's
+        self.vocabulary, symbols = np.unique(h, return_inverse=True)
+        self.symbols = (symbols + 1).astype(np.int32)
+        count = np.diff(first)
+        width = np.minimum(count, window)
+        n = np.where(count > 0, count - width + 1, 0)
+        start = (np.repeat(first[:-1] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))).astype(np.int32)
+        item, width = np.repeat(np.arange(len(ids), dtype=np.int32), n), np.repeat(width.astype(np.int32), n)
+        # length, a place of each distinct window; and for each (window, item) pair the window's number and the item's
         self.groups = []
-        for size, found in sorted(by_size.items()):
-            w, inverse = np.unique(np.concatenate([f[0] for f in found]), axis=0, return_inverse=True)
-            self.groups.append((size, w, *np.unique(np.stack([inverse.ravel(), np.concatenate([f[1] for f in found])]), axis=1)))
+        for size in np.unique(width).tolist():
+            own = np.flatnonzero(width == size)
+            one = two = np.zeros(len(own), np.uint64)
+            for k in range(size):
+                word = self.symbols[start[own] + k].astype(np.uint64)
+                one, two = textnum.pair(one, word), textnum.mix(two * np.uint64(0x9E3779B97F4A7C15) + word)
+            order = np.lexsort((two, one))
+            one, two = one[order], two[order]
+            new = np.concatenate([[True], (one[1:] != one[:-1]) | (two[1:] != two[:-1])])
+            number = np.cumsum(new) - 1
+            pairs = np.unique(number * len(ids) + item[own[order]])
+            self.groups.append((size, start[own[order[new]]], pairs // len(ids), (pairs % len(ids)).astype(np.int32)))
         self.shortest = self.groups[0][0] if self.groups else 0
 
 
@@ -77,24 +90,25 @@ def shard_hits(texts: pa.Array, windows: Windows, step: int = 8):
             t[inside] = place[words[inside]] + 1
             index = FMIndex(t, len(windows.vocabulary), step)
             for width, w, which, item in windows.groups:
-                lo, hi = index.search(w)
-                count = hi - lo
-                found = np.flatnonzero(count)
-                if not len(found):
-                    continue
-                n = count[found]
-                at = words[index.locate(np.repeat(lo[found] - (np.cumsum(n) - n), n) + np.arange(int(n.sum())))]
-                edge = np.zeros(len(h) + 1, np.int64)
-                np.add.at(edge, at, 1)
-                np.add.at(edge, at + width, -1)
-                covered |= np.cumsum(edge[:-1]) > 0
-                # (row, window) pairs, then their items
-                row = np.searchsorted(first, at, "right") - 1
-                pairs = np.unique(row * len(w) + np.repeat(found, n))
-                row, win = pairs // len(w), pairs % len(w)
-                left, right = np.searchsorted(which, win), np.searchsorted(which, win, "right")
-                many = right - left
-                met.append((np.repeat(row, many), item[np.repeat(left - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))]))
+                for part in range(0, len(w), SEARCHED):
+                    lo, hi = index.search(windows.symbols, w[part : part + SEARCHED], width)
+                    count = hi - lo
+                    found = np.flatnonzero(count)
+                    if not len(found):
+                        continue
+                    n = count[found]
+                    at = words[index.locate(np.repeat(lo[found] - (np.cumsum(n) - n), n) + np.arange(int(n.sum())))]
+                    edge = np.zeros(len(h) + 1, np.int64)
+                    np.add.at(edge, at, 1)
+                    np.add.at(edge, at + width, -1)
+                    covered |= np.cumsum(edge[:-1]) > 0
+                    # (row, window) pairs, then their items
+                    row = np.searchsorted(first, at, "right") - 1
+                    pairs = np.unique(row * len(w) + np.repeat(part + found, n))
+                    row, win = pairs // len(w), pairs % len(w)
+                    left, right = np.searchsorted(which, win), np.searchsorted(which, win, "right")
+                    many = right - left
+                    met.append((np.repeat(row, many), item[np.repeat(left - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))]))
     return buf, starts, ends, first, covered, np.concatenate([m[0] for m in met]), np.concatenate([m[1] for m in met])
 
 

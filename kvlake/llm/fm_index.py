@@ -112,12 +112,12 @@ class FMIndex:
         self.marks = Bits(sampled[sa])
         self.samples = sa[sampled[sa]]
 
-    def search(self, patterns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Row ranges [lo, hi) of the suffixes that start with each row of ``patterns`` (symbols 1..sigma), by backward search."""
-        m, width = patterns.shape
+    def search(self, symbols: np.ndarray, starts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """Row ranges [lo, hi) of the suffixes that start with ``symbols[start:start + width]`` (of 1..sigma) for each start, by backward search."""
+        m = len(starts)
         lo, hi, live = np.zeros(m, np.int64), np.full(m, self.n, np.int64), np.arange(m)
         for k in range(width - 1, -1, -1):
-            c = patterns[live, k].astype(np.int64)
+            c = symbols[starts[live] + k].astype(np.int64)
             a, b = self.bwt.rank(c, lo[live], hi[live])
             lo[live], hi[live] = self.less[c] + a, self.less[c] + b
             dead = lo[live] >= hi[live]

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kvlake.llm import textnum
-from kvlake.llm.common import arrow_map, fold, table, written
+from kvlake.llm.common import arrow_map, fold, table, unused, written
 from kvlake.llm.sampling import per_class
 
 PER_LANG, PIECES, DIM = 300, 4, 4096
@@ -194,9 +194,9 @@ def train(rows: DataFrame, text_col: str = "text", lang_col: str = "lang", per_l
 
 
 def identified(docs: DataFrame, model: Identifier | None, text_col: str = "text", keep: dict | None = None) -> DataFrame:
-    """``keep`` columns, then lang_pred and score of each row's whole text."""
-    keep = keep or {"doc_id": F.col("doc_id")}
-    rows = docs.select(F.col(text_col).alias("text"), F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)).alias("letters"), *[c.alias(k) for k, c in keep.items()])
+    """``keep`` columns, then lang_pred and score of each row's whole text. A kept column of these names is replaced."""
+    keep = {k: c for k, c in (keep or {"doc_id": F.col("doc_id")}).items() if k.lower() not in ("lang_pred", "score")}
+    rows = docs.select(F.col(text_col).alias(unused("text", keep)), F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)).alias(unused("letters", keep)), *[c.alias(k) for k, c in keep.items()])
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names = list(keep)
 

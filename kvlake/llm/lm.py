@@ -25,10 +25,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kvlake.llm import store, textnum
-from kvlake.llm.common import arrow_map, fold, scratch_dir, table
+from kvlake.llm.common import arrow_map, fold, scratch_dir, table, unused, written
 
 START, END = np.uint64(0x5374617274), np.uint64(0x456E64)
-SLICE_BYTES, BUCKET_TOKENS, MOST_BUCKETS = 12 << 20, 1 << 21, 1 << 14
+SLICE_BYTES, BUCKET_TOKENS, HOT_PARTS = 12 << 20, 1 << 21, 64
+READ_BYTES = 256 << 20  # arrays that a worker holds where they can't be mapped
 SAMPLE, OFTEN = 64, 2000  # a context with more than 1 / OFTEN of the tokens of 1 / SAMPLE of the texts is dealt by both words
 _SPREAD = np.uint64(0xD1B54A32D192ED03)
 
@@ -49,12 +50,17 @@ def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def bucket_of(context: np.ndarray, word: np.ndarray, often: np.ndarray, n: int) -> np.ndarray:
-    """The bucket (of ``n``, a power of two) of each bigram."""
+    """The bucket (of ``n``, up to 2^31) of each bigram."""
     h = textnum.mix(context ^ _SPREAD)
     if len(often):
         hot = often[np.minimum(np.searchsorted(often, context), len(often) - 1)] == context
         h[hot] = textnum.pair(context[hot], word[hot])
-    return (h >> np.uint64(64 - 16)).astype(np.int64) * n >> 16
+    return share_of(h, n)
+
+
+def share_of(h: np.ndarray, n: int) -> np.ndarray:
+    """Hashes dealt to ``n`` equal ranges."""
+    return ((h >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
 
 
 def runs(sorted_values: np.ndarray) -> np.ndarray:
@@ -119,20 +125,25 @@ def _merge(path: str, often: np.ndarray, words_n: int):
         c = c[at]
         hot = np.isin(c, often)
         store.save(f"{path}/context-{bucket}.key", c[~hot])
-        store.save(f"{path}/context-{bucket}.stat", stats[~hot].astype(np.uint32).ravel())
+        store.save(f"{path}/context-{bucket}.stat", stats[~hot].ravel())
 
         # words: count and contexts, dealt by hash
         order = np.argsort(word)
         w, t = word[order], times[order]
         at = runs(w)
         t, contexts, w = np.add.reduceat(t, at), np.diff(np.append(at, len(w))), w[at]
-        part = (textnum.mix(w) >> np.uint64(48)).astype(np.int64) * words_n >> 16
+        part = share_of(textnum.mix(w), words_n)
         rows = []
         for p in range(words_n):
             own = np.flatnonzero(part == p)
             rows.append((p, w[own].tobytes(), _packed(t[own]), _packed(contexts[own])))
         counts = np.array([bucket, *[(times == k).sum() for k in (1, 2, 3, 4)]], np.int64)
-        rows.append((-1, c[hot].tobytes(), stats[hot].astype(np.int64).tobytes(), counts.tobytes()))
+        rows.append((-1, b"", b"", counts.tobytes()))
+        # contexts that lie in several buckets, dealt by hash
+        c, stats = c[hot], stats[hot]
+        part = share_of(textnum.mix(c), HOT_PARTS)
+        for p in np.unique(part).tolist():
+            rows.append((-2 - p, c[part == p].tobytes(), stats[part == p].tobytes(), b""))
         return pa.table([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), [pa.int64(), *[pa.binary()] * 3], strict=True)], names=["part", "word", "times", "contexts"])
 
     return merge
@@ -150,21 +161,22 @@ def _unpacked(raw: bytes, n: int) -> np.ndarray:
 
 
 def _merge_words(path: str):
-    """One part of the words -> files, and a row of figures; part -1 passes on what concerns all."""
+    """One part of the words -> files, and a row of figures; part -1 passes on the buckets' figures, those below it sum up contexts that lie in several buckets."""
 
     def merge(key: tuple, group: pa.Table) -> pa.Table:
         part = key[0].as_py()
         names = ["part", "context", "figures"]
-        if part < 0:
-            keys = np.concatenate([np.frombuffer(x, np.uint64) for x in group.column("word").to_pylist()])
-            stats = np.concatenate([np.frombuffer(x, np.int64).reshape(-1, 4) for x in group.column("times").to_pylist()])
+        if part == -1:
             counts = np.stack([np.frombuffer(x, np.int64) for x in group.column("contexts").to_pylist()])
             figures = [*counts[:, 1:].sum(axis=0).tolist(), *counts[:, 0].tolist()]
+            return pa.table([pa.array([-1]), pa.array([0]), pa.array([figures], pa.list_(pa.int64()))], names=names)
+        if part < -1:
+            keys = np.concatenate([np.frombuffer(x, np.uint64) for x in group.column("word").to_pylist()])
+            stats = np.concatenate([np.frombuffer(x, np.int64).reshape(-1, 4) for x in group.column("times").to_pylist()])
             unique, inverse = np.unique(keys, return_inverse=True)
             total = np.zeros((len(unique), 4), np.int64)
             np.add.at(total, inverse, stats)
-            rows = [(int(k.view(np.int64)), s.tolist()) for k, s in zip(unique, total, strict=True)]
-            return pa.table([pa.array([-1] + [-2] * len(rows)), pa.array([0] + [r[0] for r in rows]), pa.array([figures] + [r[1] for r in rows], pa.list_(pa.int64()))], names=names)
+            return pa.table([pa.array([part] * len(unique)), pa.array(unique.view(np.int64)), pa.array(total.tolist(), pa.list_(pa.int64()))], names=names)
         raw = group.column("word").to_pylist()
         word = np.frombuffer(b"".join(raw), np.uint64)
         times, contexts = (np.concatenate([_unpacked(x, len(w) // 8) for x, w in zip(group.column(c).to_pylist(), raw, strict=True)]) for c in ("times", "contexts"))
@@ -205,6 +217,9 @@ class Model:
     def _get(self, name: str, dtype) -> np.ndarray:
         if name not in self._open:
             self._open[name] = store.load(f"{self.path}/{name}", dtype)
+            if store.local(self.path) is None:
+                while len(self._open) > 1 and sum(x.nbytes for x in self._open.values()) > READ_BYTES:
+                    self._open.pop(next(iter(self._open)))
         return self._open[name]
 
     def _find(self, kind: str, place: np.ndarray, h: np.ndarray, read) -> None:
@@ -229,7 +244,7 @@ class Model:
             def read(n, rows, to):
                 out[rows] = self._get(f"word-{n}.stat", np.int64).reshape(-1, 2)[to]
 
-            self._find("word", (textnum.mix(word) >> np.uint64(48)).astype(np.int64) * self.parts >> 16, word, read)
+            self._find("word", share_of(textnum.mix(word), self.parts), word, read)
         return out[:, 0], out[:, 1]
 
     def logs(self, context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -248,7 +263,7 @@ class Model:
                 stat[hot] = self.often_stat[k[hot]]
 
             def read(n, rows, to):
-                stat[rows] = self._get(f"context-{n}.stat", np.uint32).reshape(-1, 4)[to]
+                stat[rows] = self._get(f"context-{n}.stat", np.int64).reshape(-1, 4)[to]
 
             nobody = np.zeros(0, np.uint64)
             self._find("context", bucket_of(c, c, nobody, self.buckets), c, read)
@@ -281,30 +296,32 @@ def train(docs: DataFrame, text_col: str = "text", path: str | None = None) -> M
         w, n = np.unique(tokens(batch.column(0))[0], return_counts=True)
         return pa.RecordBatch.from_arrays([pa.array(w.view(np.int64)), pa.array(n)], ["word", "n"])
 
-    sample = arrow_map(texts.where(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0), words, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    sample = written(arrow_map(texts.where(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0), words, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n")), "lm-sample")
     size = texts.select(F.sum(F.octet_length("text") / 6 + 1)).first()[0] or 0
-    most = sample.where(F.col("n") > max(20, size / SAMPLE / OFTEN)).orderBy(F.desc("n"), "word").limit(2 * OFTEN)
+    seen = sample.agg(F.sum("n")).first()[0] or 0
+    # fewer than OFTEN words have more than 1 / OFTEN of all
+    most = sample.where(F.col("n") > max(20, seen / OFTEN)).select("word")
     often = np.sort(np.array([r.word for r in most.collect()], np.int64).view(np.uint64))
     buckets = 8
-    while buckets * BUCKET_TOKENS < size and buckets < MOST_BUCKETS:
+    while buckets * BUCKET_TOKENS < size:
         buckets *= 2
     parts = max(2, buckets // 8)
 
     counted = arrow_map(texts, _slices(often, buckets), "bucket bigint, context binary, run binary, word binary, times binary", 0, SLICE_BYTES)
     merged = counted.groupBy("bucket").applyInArrow(_merge(path, often, parts), "part bigint, word binary, times binary, contexts binary")
     figures = merged.groupBy("part").applyInArrow(_merge_words(path), "part bigint, context bigint, figures array<bigint>").collect()
-    hot = {int(np.int64(r.context).view(np.uint64)): r.figures for r in figures if r.part == -2}
+    hot = {int(np.int64(r.context).view(np.uint64)): r.figures for r in figures if r.part < -1}
     counts = next((r.figures for r in figures if r.part == -1), [0] * 4)
     total = np.array([r.figures for r in figures if r.part >= 0], np.int64).reshape(-1, 7).sum(axis=0).tolist()
     return Model(path, buckets, parts, hot, counts[:4], set(counts[4:]), total[0], total[1], total[2], total[3:])
 
 
 def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", extra: dict[str, Column] | None = None) -> DataFrame:
-    """One row a document: id, n_tokens, n_known, base_score, score (log10), perplexity, and ``extra`` columns."""
+    """One row a document: id, n_tokens, n_known, base_score, score (log10), perplexity, and ``extra`` columns but those of these names."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    more = extra or {}
+    more = {k: c for k, c in (extra or {}).items() if k.lower() not in ("id", "n_tokens", "n_known", "base_score", "score", "perplexity")}
     names = ["id", *more]
-    rows = docs.select(F.col(text_col).alias("text"), F.col(id_col).alias("id"), *[c.alias(k) for k, c in more.items()])
+    rows = docs.select(F.col(text_col).alias(unused("text", names)), F.col(id_col).alias("id"), *[c.alias(k) for k, c in more.items()])
 
     def score(batch: pa.RecordBatch) -> pa.RecordBatch:
         context, word, first = tokens(batch.column(0))
@@ -337,7 +354,8 @@ def lm_base_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 BASE_SQL = r"""
 WITH e AS (SELECT row_number() OVER () AS r, doc_id, text, flatten(list_transform(range(1, length(coalesce(doc_id::VARCHAR, '')) + 1), lambda k: [ascii(substr(doc_id::VARCHAR, k, 1))::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1])) AS ev FROM documents),
 d AS (SELECT r, doc_id, xor(list_reduce(ev, lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) ELSE xor(c >> 1, 3988292384 * (c & 1)) END, 4294967295::BIGINT), 4294967295::BIGINT) % 7 = 2 AS held_out,
-  list_append(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-]+'), '') AS ws FROM e),
+  list_append(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-
+]+'), '') AS ws FROM e),
 t AS (SELECT r, doc_id, held_out, w FROM d, unnest(ws) u(w)),
 c AS (SELECT w, count(*) AS n FROM t WHERE NOT held_out GROUP BY w),
 a AS (SELECT coalesce(sum(n), 0)::BIGINT AS total, count(*) AS types FROM c)

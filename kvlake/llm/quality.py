@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kvlake.llm import textnum
-from kvlake.llm.common import arrow_map, fold, table
+from kvlake.llm.common import arrow_map, fold, table, unused
 from kvlake.llm.sampling import labelled
 
 PER_CLASS, BINS, PAIR_BINS, PAIRS, ROUNDS, RATE = 6000, 64, 16, 6, 60, 0.15
@@ -173,9 +173,9 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col
 
 
 def scored(docs: DataFrame, model: Gam, text_col: str = "text", keep: dict | None = None) -> DataFrame:
-    """``keep`` columns, then score and predicted of each row's whole text."""
-    keep = keep or {"doc_id": F.col("doc_id")}
-    rows = docs.select(F.col(text_col).alias("text"), *[c.alias(k) for k, c in keep.items()])
+    """``keep`` columns, then score and predicted of each row's whole text. A kept column of these names is replaced."""
+    keep = {k: c for k, c in (keep or {"doc_id": F.col("doc_id")}).items() if k.lower() not in ("score", "predicted")}
+    rows = docs.select(F.col(text_col).alias(unused("text", keep)), *[c.alias(k) for k, c in keep.items()])
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names = list(keep)
 

@@ -1,13 +1,12 @@
 """Arrays in the shared folder, written by executors and memory-mapped by workers.
 
-A path on a mounted file system (``file:`` or none) is mapped where it lies. On another store (hdfs, s3, ...) a
-worker first copies the file to its own temporary folder, a cache that can be lost at any time.
+A path on a mounted file system (``file:`` or none) is mapped where it lies. From another store (hdfs, s3, ...) an array
+is read into memory whole; nothing is put into a worker's own folders.
 """
 
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 from urllib.parse import urlparse
 
@@ -39,17 +38,14 @@ def save(path: str, array: np.ndarray) -> None:
 
 
 def load(path: str, dtype) -> np.ndarray:
-    """The array at ``path``, memory-mapped."""
+    """The array at ``path``, memory-mapped where it can be."""
     here = local(path)
     if here is None:
         from pyarrow import fs
 
-        here = os.path.join(tempfile.gettempdir(), "kvlake-cache", path.replace("/", "_").replace(":", "_"))
-        if not os.path.exists(here):
-            os.makedirs(os.path.dirname(here), exist_ok=True)
-            part = f"{here}.{uuid.uuid4().hex}.part"
-            fs.copy_files(path, part)
-            os.replace(part, here)
+        store, name = fs.FileSystem.from_uri(path)
+        with store.open_input_file(name) as f:
+            return np.frombuffer(f.read(), dtype)
     if os.path.getsize(here) == 0:
         return np.zeros(0, dtype)
     return np.memmap(here, dtype, "r")

@@ -6,8 +6,7 @@ occurs in so many toxic texts and so few others that chance would not bring fort
 field is trained on these tags. Forward-backward marginals of a text's tokens are summed up to the expected number of
 toxic tokens and their maximum, which a logistic function, fitted on the labelled texts, turns into the score.
 
-Training sees ``PER_CLASS`` labelled texts of each class at most, ``FIELD_TEXTS`` of them of each class for the field, and
-``MOST_FEATURES`` features.
+Training sees ``PER_CLASS`` labelled texts of each class at most, and ``FIELD_TEXTS`` of them of each class for the field.
 
 Defined results: null and empty texts have no tokens and the score of a text without toxic tokens; without labelled
 rows of both classes the score is the share of class 1 (0 without rows); extra columns are not looked at; repeated rows get equal scores.
@@ -24,7 +23,7 @@ from kvlake.llm import crf, textnum
 from kvlake.llm.common import arrow_map, fold, fresh, table, written
 from kvlake.llm.sampling import labelled
 
-PER_CLASS, FIELD_TEXTS, MOST_FEATURES = 3000, 600, 20000
+PER_CLASS, FIELD_TEXTS = 3000, 600
 PIECE_BYTES, STEP = 1 << 20, 1 << 15  # text tagged at once, words whose features are made at once
 PREFIXES = (3, 4, 5, 6)
 SURE = -12.0  # log probability below which a feature isn't toxic by chance among some 100,000
@@ -174,7 +173,7 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col:
     rate = F.greatest(F.col("toxic") / total, F.lit(share))
     chance = -total * (rate * F.log(rate / share) + F.when(rate < 1, (1 - rate) * F.log((1 - rate) / (1 - share))).otherwise(0.0))
     counted = counted.where("toxic >= 3").withColumn("chance", chance).where((F.col("chance") < -4) & (rate > 2 * share))
-    kept = counted.orderBy("chance", "feature").limit(MOST_FEATURES).collect()
+    kept = counted.orderBy("chance", "feature").collect()
     at = np.array([r.feature for r in kept], np.int64).view(np.uint64)
     order = np.argsort(at)
     keys = at[order]

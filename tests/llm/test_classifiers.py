@@ -1,11 +1,14 @@
 import itertools
+import math
 import random
+import re
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
 from kvlake.llm import crf, lang_id, quality, toxicity
+from kvlake.llm.sampling import per_class
 
 SYLLABLES = {"en": ["th", "ing", "er", "an", "wh"], "de": ["sch", "ung", "ein", "ch", "keit"], "fr": ["eau", "oi", "que", "é", "tion"], "es": ["ción", "ado", "ñ", "os", "lla"]}
 
@@ -170,3 +173,103 @@ def test_features_of_odd_texts():
     x = quality.features(pa.array([None, "", "A b!", "\n\n", "É x"], pa.string()))
     assert x.shape == (5, len(quality.FEATURES)) and np.isfinite(x).all() and (x[0] == x[1]).all()
     assert x[4, 3] > 0
+
+
+def test_toxic_scores_as_brute_force(spark):
+    """The query's operator against a forward-backward of Python numbers, text by text."""
+    df = toxic_table(spark)
+    model = toxicity.train(df, df.select("doc_id", "toxic"))
+    weight = dict(zip(model.lookup.keys.tolist(), model.weights.tolist(), strict=False))
+    start, move = np.exp(model.start).tolist(), np.exp(model.move).tolist()
+    for row in toxicity.tagged(df, model, text="keep")[0].collect():
+        words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", row.text.lower())
+        e = [math.exp(model.weights[-1] + sum(weight.get(int(h), 0.0) for h in toxicity.token_features(pa.array([w]))[1][0])) for w in words]
+        alpha, beta = [], [(0.5, 0.5)]
+        for k, x in enumerate(e):
+            a = (start[0], start[1] * x) if not k else (alpha[-1][0] * move[0][0] + alpha[-1][1] * move[1][0], (alpha[-1][0] * move[0][1] + alpha[-1][1] * move[1][1]) * x)
+            alpha.append((a[0] / sum(a), a[1] / sum(a)))
+        for x in e[:0:-1]:
+            b = (move[0][0] * beta[0][0] + move[0][1] * x * beta[0][1], move[1][0] * beta[0][0] + move[1][1] * x * beta[0][1])
+            beta.insert(0, (b[0] / sum(b), b[1] / sum(b)))
+        p = [a[1] * b[1] / (a[0] * b[0] + a[1] * b[1]) for a, b in zip(alpha, beta, strict=True)]
+        z = model.link @ [math.log1p(sum(p)), max(p), math.log1p(len(p)), 1.0]
+        got = row["toxicity_"]
+        assert abs(got.score - 1 / (1 + math.exp(-z))) < 1e-9 and got.predicted == (got.score >= 0.5)
+        at, spans = 0, []
+        for w, x in zip(words, p, strict=True):
+            at = row.text.lower().index(w, at)
+            if x >= 0.5:
+                if spans and spans[-1][2] == last:
+                    spans[-1][1] = at + len(w)
+                else:
+                    spans.append([at, at + len(w), None])
+                spans[-1][2] = at
+            last, at = at, at + len(w)
+        if row.text.isascii():
+            assert [(s.start, s.stop) for s in got.spans] == [(a, z) for a, z, _ in spans]
+
+
+def test_languages_as_brute_force(spark):
+    """Predictions against grams counted one by one and duels decided one after the other."""
+    r = random.Random(7)
+    df = spark.createDataFrame([(i, text(r, x, r.choice([4, 12])), x) for i, x in enumerate(list(SYLLABLES) * 30)], "doc_id long, text string, lang string")
+    model = lang_id.train(df)
+
+    def vector(t):
+        b = bytes(c + 32 if 65 <= c < 91 else c if c >= 128 or 97 <= c < 123 else 32 for c in t.encode())
+        v = np.zeros(lang_id.DIM)
+        for n in (2, 3, 4):
+            for k in range(len(b) - n + 1):
+                h = 0
+                for c in b[k : k + n]:
+                    h = h * 257 + c & 0xFFFFFFFF
+                v[(h * 0x9E3779B1 + (n * 0x85EBCA6B & 0xFFFFFFFF) & 0xFFFFFFFF) >> 20] += 1
+        return v / max(np.sqrt((v * v).sum()), 1e-9)
+
+    def decide(vote, v):
+        wins, sums = [0] * len(vote.classes), [0.0] * len(vote.classes)
+        for k, (i, j) in enumerate(vote.pairs):
+            m = float(v @ vote.w[:-1, k] + vote.w[-1, k])
+            wins[i if m > 0 else j] += 1
+            sums[i] += m
+            sums[j] -= m
+        return vote.classes[max(range(len(wins)), key=lambda c: (wins[c], sums[c]))]
+
+    for row in lang_id.identified(df, model).join(df, "doc_id").collect():
+        v = vector(row.text)
+        family = decide(model.families, v)
+        assert row.lang_pred == decide(model.within[model.families.classes.index(family)], v)
+
+
+def test_quality_scores_as_brute_force(spark):
+    """Scores against tables looked up one by one; equal rows, no rows and columns with the result's names."""
+    r = random.Random(5)
+    rows = [(i, text(r, "en", r.randint(2, 60)) if i % 2 else "spam " * r.randint(3, 40), i % 2, "clash", 0.5) for i in range(200)]
+    df = spark.createDataFrame(rows + rows[:5], "doc_id long, text string, quality int, predicted string, score double")
+    model = quality.train(df, df.select("doc_id", "quality"))
+    got = quality.scored(df, model).join(df.select("doc_id", "text").distinct(), "doc_id").collect()
+    assert len(got) == 205 and len({(x.doc_id, x.score) for x in got}) == 200
+    for x in got:
+        f = quality.features(pa.array([x.text]))[0]
+        place = lambda edges, v: sum(e <= v for e in edges)
+        z = model.start + sum(t[place(e, v)] for e, t, v in zip(model.edges, model.tables, f, strict=True)) + sum(t[place(model.coarse[i], f[i])][place(model.coarse[j], f[j])] for i, j, t in model.pairs)
+        assert abs(x.score - 1 / (1 + math.exp(-z))) < 1e-9 and x.predicted == (x.score >= 0.5)
+    assert quality.scored(df.where("doc_id < 0"), model).count() == 0
+
+
+def test_samples_are_bounded_and_never_empty(spark):
+    rows = spark.range(20000).selectExpr("CAST(id % 3 AS INT) AS label", "id", "id % 7 AS few")
+    got = {x.label: x["count"] for x in per_class(rows, "label", 50, F.col("id")).groupBy("label").count().collect()}
+    assert set(got) == {0, 1, 2} and all(25 < n <= 50 for n in got.values())
+    assert all(x["count"] <= 50 for x in per_class(rows, "label", 50, F.col("few")).groupBy("label").count().collect())
+
+
+def test_kept_columns_with_clashing_names(spark):
+    df = spark.createDataFrame([(k, "ein text und mehr", "de", 1) for k in range(3)] + [(9, "some text", "en", 0)], "doc_id long, text string, lang string, quality int")
+    keep = {"doc_id": F.col("doc_id"), **{c: F.lit("kept") for c in ("text", "letters", "Text", "score", "lang_pred", "predicted")}}
+    keep.pop("Text")
+    out = lang_id.identified(df, lang_id.train(df), keep=keep)
+    assert out.columns == ["doc_id", "text", "letters", "predicted", "lang_pred", "score"] and {r.text for r in out.collect()} == {"kept"}
+    assert {r.lang_pred for r in out.where("doc_id < 9").collect()} == {"de"} and lang_id.identified(df.where("doc_id > 99"), None).count() == 0
+    out = quality.scored(df, quality.train(df, df.select("doc_id", "quality")), keep=keep)
+    assert out.columns == ["doc_id", "text", "letters", "lang_pred", "score", "predicted"] and all(0 <= r.score <= 1 for r in out.collect())

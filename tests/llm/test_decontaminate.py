@@ -1,5 +1,6 @@
 import random
 import re
+import tracemalloc
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -106,7 +107,19 @@ def test_index_against_plain_search():
         index = FMIndex(t, sigma, 4)
         pats = np.stack([t[k : k + 3] for k in r.integers(0, n - 3, 60)])
         pats = np.unique(pats[(pats > 0).all(axis=1)], axis=0)
-        lo, hi = index.search(pats)
+        lo, hi = index.search(pats.ravel(), np.arange(len(pats)) * pats.shape[1], pats.shape[1])
         for p, a, b in zip(pats, lo, hi, strict=True):
             want = [k for k in range(n - 2) if (t[k : k + 3] == p).all()]
             assert sorted(index.locate(np.arange(a, b))) == want
+
+
+def test_a_full_block_stays_small():
+    """Windows of a block near its bound take a few times its bytes."""
+    tracemalloc.start()
+    r = np.random.default_rng(2)
+    texts = [" ".join(f"w{k}" for k in r.integers(0, 50000, 400)) for _ in range(1000)]
+    size = sum(map(len, texts))
+    w = dc.Windows([str(k) for k in range(1000)], texts, 10)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(w.groups) == 1 and len(w.groups[0][1]) == 1000 * 391 and peak < 22 * size
