@@ -133,10 +133,12 @@ def _merge(path: str, often: np.ndarray, words_n: int):
         at = runs(w)
         t, contexts, w = np.add.reduceat(t, at), np.diff(np.append(at, len(w))), w[at]
         part = share_of(textnum.mix(w), words_n)
+        order = np.argsort(part, kind="stable")
+        at = runs(part[order])
         rows = []
-        for p in range(words_n):
-            own = np.flatnonzero(part == p)
-            rows.append((p, w[own].tobytes(), _packed(t[own]), _packed(contexts[own])))
+        for a, z in zip(at.tolist(), np.append(at[1:], len(order)).tolist(), strict=True):
+            own = order[a:z]
+            rows.append((int(part[own[0]]), w[own].tobytes(), _packed(t[own]), _packed(contexts[own])))
         counts = np.array([bucket, *[(times == k).sum() for k in (1, 2, 3, 4)]], np.int64)
         rows.append((-1, b"", b"", counts.tobytes()))
         # contexts that lie in several buckets, dealt by hash
@@ -202,8 +204,8 @@ def discounts(n1: int, n2: int, n3: int, n4: int) -> np.ndarray:
 class Model:
     """Paths and figures of a trained model; small whatever the corpus. Arrays are mapped where they are used."""
 
-    def __init__(self, path: str, buckets: int, parts: int, often: dict[int, list[int]], counts: list[int], full: set[int], types: int, total: int, pairs: int, word_counts: list[int]):
-        self.path, self.buckets, self.parts, self.full, self.types, self.total, self.pairs = path, buckets, parts, full, types, total, pairs
+    def __init__(self, path: str, buckets: int, parts: int, often: dict[int, list[int]], counts: list[int], full: set[int], full_words: set[int], types: int, total: int, pairs: int, word_counts: list[int]):
+        self.path, self.buckets, self.parts, self.full, self.full_words, self.types, self.total, self.pairs = path, buckets, parts, full, full_words, types, total, pairs
         self.often = np.array(sorted(often), np.uint64)
         self.often_stat = np.array([often[k] for k in sorted(often)], np.int64).reshape(-1, 4)
         self.d, self.d_word = discounts(*counts), discounts(*word_counts)
@@ -228,7 +230,7 @@ class Model:
         at = runs(place[order])
         for a, z in zip(at.tolist(), np.append(at[1:], len(order)).tolist(), strict=True):
             n = int(place[order[a]])
-            if kind != "word" and n not in self.full:
+            if n not in (self.full_words if kind == "word" else self.full):
                 continue
             keys = self._get(f"{kind}-{n}.key", np.uint64)
             if len(keys):
@@ -305,7 +307,7 @@ def train(docs: DataFrame, text_col: str = "text", path: str | None = None) -> M
     buckets = 8
     while buckets * BUCKET_TOKENS < size:
         buckets *= 2
-    parts = max(2, buckets // 8)
+    parts = buckets
 
     counted = arrow_map(texts, _slices(often, buckets), "bucket bigint, context binary, run binary, word binary, times binary", 0, SLICE_BYTES)
     merged = counted.groupBy("bucket").applyInArrow(_merge(path, often, parts), "part bigint, word binary, times binary, contexts binary")
@@ -313,7 +315,7 @@ def train(docs: DataFrame, text_col: str = "text", path: str | None = None) -> M
     hot = {int(np.int64(r.context).view(np.uint64)): r.figures for r in figures if r.part < -1}
     counts = next((r.figures for r in figures if r.part == -1), [0] * 4)
     total = np.array([r.figures for r in figures if r.part >= 0], np.int64).reshape(-1, 7).sum(axis=0).tolist()
-    return Model(path, buckets, parts, hot, counts[:4], set(counts[4:]), total[0], total[1], total[2], total[3:])
+    return Model(path, buckets, parts, hot, counts[:4], set(counts[4:]), {r.part for r in figures if r.part >= 0}, total[0], total[1], total[2], total[3:])
 
 
 def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", extra: dict[str, Column] | None = None) -> DataFrame:
