@@ -6,12 +6,19 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kvlake.functions import codec, keys
 from kvlake.operators import mutate, view
-from kvlake.schema import DELETE, PUT
+from kvlake.schema import DELETE, LOG, PUT
+from kvlake.sources.manifest import _local
 
 NOW_MS = 1706659200000  # 2024-01-31 00:00 UTC
 HOUR_MS = 3600000
@@ -19,8 +26,38 @@ AS_OF = 5000
 LOW, HIGH = b"user:000010", b"user:000040"
 
 
+_logs: dict[tuple[str, str, str], str] = {}
+
+
 def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The mutation log made of ``events``."""
+    """The mutation log made of ``events``, written once a session in order of its keys, so that ranges of keys reach the Parquet scan."""
+    return _written(spark, sf_dir, "events", _events)
+
+
+def _written(spark: SparkSession, sf_dir: str, name: str, make: Callable[[SparkSession, str], DataFrame]) -> DataFrame:
+    """A log as Parquet in the shared folder."""
+    at = (spark.sparkContext.applicationId, sf_dir, name)
+    if at not in _logs:
+        path = own_folder(spark, "kvlake-log")
+        make(spark, sf_dir).repartitionByRange("key").sortWithinPartitions("key").write.parquet(path)
+        _logs[at] = path
+    return spark.read.schema(LOG).parquet(_logs[at])
+
+
+def own_folder(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder (``spark.checkpoint.dir``; a test folder on a local master without it) that goes when the driver ends."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared is None:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        shared = "/tmp/checkpoints"
+    path = f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if (here := _local(path)) is not None:
+        atexit.register(shutil.rmtree, here, ignore_errors=True)
+    return path
+
+
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
     ms = F.floor(F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col("ts").cast("timestamp_ntz")) / 1000)
     return e.select(
@@ -90,7 +127,7 @@ def _compacted(s: SparkSession, d: str) -> DataFrame:
     return with_rows(view.compacted(old, NOW_MS), new)
 
 
-def _lineitem_log(s: SparkSession, d: str) -> DataFrame:
+def _lineitems(s: SparkSession, d: str) -> DataFrame:
     """One version a line: key of order and line number; later ship dates are newer, ties by part, supplier and quantity."""
     li = s.read.parquet(f"{d}/lineitem.parquet")
     day = F.datediff(F.col("l_shipdate").cast("date"), F.lit("1970-01-01").cast("date")).cast("long")
@@ -141,7 +178,7 @@ QUERIES = {
     "compact_whole": lambda s, d: text(view.compacted(event_log(s, d), NOW_MS, whole_history=True).select("key", "value", "seq")),
     "codec_roundtrip": _codec,
     "prefix_successor": lambda s, d: s.createDataFrame([(p.hex(), n.hex() if (n := keys.successor(p)) is not None else None) for p in (b"a", b"a\xff", b"\x01\xff\xff", b"\xff\xff", b"", b"\x00")], "prefix string, next string"),
-    "lineitem_latest": lambda s, d: text(view.live(_lineitem_log(s, d))),
+    "lineitem_latest": lambda s, d: text(view.live(_written(s, d, "lineitem", _lineitems))),
 }
 
 _L = """l AS (SELECT 'user:' || lpad(user_id::VARCHAR, 6, '0') AS key, event_type || '#' || event_id AS value, CASE WHEN event_type = 'error' THEN 'delete' ELSE 'put' END AS op,

@@ -5,11 +5,7 @@ The stores lie below ``spark.checkpoint.dir`` (a test folder where it is unset)
 
 from __future__ import annotations
 
-import atexit
-import re
-import shutil
 import time
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,15 +21,7 @@ SMALL = Options(level_zero_file_limit=2, level_size_multiplier=2)
 
 
 def _path(spark: SparkSession) -> str:
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared is None:
-        if not re.match(r"local(\[|$)", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        shared = "/tmp/checkpoints"
-    path = f"{shared.rstrip('/')}/kvlake-store-{uuid.uuid4().hex}"
-    if (here := _local(path)) is not None:
-        atexit.register(shutil.rmtree, here, ignore_errors=True)
-    return path
+    return catalog.own_folder(spark, "kvlake-store")
 
 
 def _mutations(spark: SparkSession, sf_dir: str) -> DataFrame:
