@@ -33,7 +33,7 @@ from kvlake.schema import LOG, PUT, Options
 from kvlake.sources.manifest import ConcurrentCommit, DataFile, Manifest, ManifestLog, _local, qualified
 from kvlake.sources.wal import Wal
 
-TRIES = 20
+TRIES, DAY_MS = 20, 86_400_000
 DRIVER_FOOTERS = 64  # files whose footers the driver reads itself
 
 
@@ -495,18 +495,24 @@ class Store:
         self._commit(change)
 
     def vacuum(self, keep_versions: int = 1) -> int:
-        """Delete data files that none of the last ``keep_versions`` manifests lists; open snapshots may need them. Returns how many."""
-        known = {f.path for v in self._manifests.versions()[-keep_versions:] for f in self._manifest(v).files}
+        """Delete the data files of earlier manifests that none of the last ``keep_versions`` lists, and those manifests; open snapshots may need them.
+
+        Files that no manifest has listed go once they are a day old, as a commit may be about to list them. Returns how many data files went.
+        """
+        versions = self._manifests.versions()
+        kept, earlier = versions[-keep_versions:], versions[:-keep_versions]
+        known = {f.path for v in kept for f in self._manifest(v).files}
+        gone = {f.path for v in earlier for f in self._manifest(v).files} - known
         p, fs = self._manifests._hadoop(f"{self.path}/data")
-        if not fs.exists(p):
-            return 0
         n = 0
-        for folder in fs.listStatus(p):
+        for folder in fs.listStatus(p) if fs.exists(p) else []:
             for f in fs.listStatus(folder.getPath()):
                 name = f"data/{folder.getPath().getName()}/{f.getPath().getName()}"
-                if f.getPath().getName().endswith(".parquet") and name not in known:
+                if name.endswith(".parquet") and (name in gone or (name not in known and f.getModificationTime() < _now() - DAY_MS)):
                     fs.delete(f.getPath(), False)
                     n += 1
+        if kept:
+            self._manifests.forget(kept)
         return n
 
     def stats(self) -> Stats:

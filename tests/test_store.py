@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from kvlake import shell
 from kvlake.operators.mutate import WriteBatch
 from kvlake.schema import Options
-from kvlake.sources.manifest import ConcurrentCommit, Manifest, ManifestLog
+from kvlake.sources.manifest import ConcurrentCommit, DataFile, Manifest, ManifestLog
 from kvlake.sources import http
 from kvlake.sources import store as store_module
 from kvlake.sources.store import Store, TransactionConflict, write_json_batch
@@ -370,3 +370,33 @@ def test_http_shapes(spark, tmp_path):
     assert set(stats) == set(http.STATS.values()) and stats["memTableEntryCount"] == 4
     assert ask("POST", "batch", b"{")[0] == ask("POST", "batch", b'[{"op": "twist", "key": "a"}]')[0] == 400 and ask("GET", "else")[0] == 404
     run.shutdown()
+
+
+def test_manifest_in_segments(spark, tmp_path):
+    log = ManifestLog(spark, str(tmp_path / "db"))
+    files = tuple(DataFile(f"data/x/{k:05d}.parquet", 0, 1, 1, "00", "ff", ((1, "00", "ff"),)) for k in range(5000))
+    log.commit(Manifest(version=1, files=files))
+    written = set(glob.glob(f"{tmp_path}/db/manifest/s*.json"))
+    assert 5 < len(written) < 60
+    changed = files[:2000] + files[2001:] + (DataFile("data/y/new.parquet", 1, 1, 1, "00", "ff"),)
+    log.commit(Manifest(version=2, files=changed))
+    assert len(set(glob.glob(f"{tmp_path}/db/manifest/s*.json")) - written) <= 3
+    again = ManifestLog(spark, str(tmp_path / "db"))
+    assert again.read().files == changed and again.read(1).files == files
+    # a damaged segment of the newest version makes the one before it count
+    new = (set(glob.glob(f"{tmp_path}/db/manifest/s*.json")) - written).pop()
+    with open(new, "r+b") as f:
+        f.seek(40)
+        f.write(b"#")
+    assert ManifestLog(spark, str(tmp_path / "db")).read().version == 1
+
+
+def test_vacuum_forgets_old_versions(spark, tmp_path):
+    s = Store(spark, str(tmp_path / "db"))
+    for k in range(3):
+        s.append(frame(spark, (b"k", b"%d" % k)))
+    s.compact()
+    files, _ = s._write_files(s.log(), 0)  # about to be listed
+    s.vacuum(2)
+    assert os.path.exists(f"{tmp_path}/db/{files[0].path}")
+    assert s._manifests.versions() == [3, 4] and s.get(b"k") == b"2" and s.at_version(3).get(b"k") == b"2"
