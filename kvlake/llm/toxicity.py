@@ -6,6 +6,9 @@ occurs in so many toxic texts and so few others that chance would not bring fort
 field is trained on these tags. Forward-backward marginals of a text's tokens are summed up to the expected number of
 toxic tokens and their maximum, which a logistic function, fitted on the labelled texts, turns into the score.
 
+Copies are no evidence of their own: a labelled text weighs one over the number of sampled texts that it is a near copy
+of, told by the least hashes of its word triples. Else all words of a toxic text that was copied often would be toxic.
+
 Training sees ``PER_CLASS`` labelled texts of each class at most, and ``FIELD_TEXTS`` of them of each class for the field.
 
 Defined results: null and empty texts have no tokens and the score of a text without toxic tokens; without labelled
@@ -23,7 +26,7 @@ from kvlake.llm import crf, textnum
 from kvlake.llm.common import arrow_map, fold, fresh, table, written
 from kvlake.llm.sampling import labelled
 
-PER_CLASS, FIELD_TEXTS = 3000, 600
+PER_CLASS, FIELD_TEXTS, HASHES = 3000, 600, 8
 PIECE_BYTES, STEP = 1 << 20, 1 << 15  # text tagged at once, words whose features are made at once
 PREFIXES = (3, 4, 5, 6)
 SURE = -12.0  # log probability below which a feature isn't toxic by chance among some 100,000
@@ -57,19 +60,44 @@ def token_features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return first, features(buf, starts, ends)
 
 
-def _counts(batch: pa.RecordBatch) -> pa.RecordBatch:
-    """How many toxic and other texts of the batch each feature occurs in."""
-    first, feats = token_features(batch.column(0))
-    label = batch.column(1).to_numpy()
-    found: list[list[np.ndarray]] = [[], []]
+def least_hashes(texts: pa.Array) -> np.ndarray:
+    """``HASHES`` least hashes of each text's word triples (of its words where it has fewer than three); zeros without words."""
+    _, _, _, first, h = textnum.words(texts, textnum.WORD)
+    triples = textnum.pair(textnum.pair(h[:-2], h[1:-1]), h[2:]) if len(h) > 2 else h[:0]
+    out = np.zeros((len(first) - 1, HASHES), np.uint64)
     for k, (a, z) in enumerate(zip(first[:-1].tolist(), first[1:].tolist(), strict=True)):
-        found[label[k]].append(np.unique(feats[a:z]))
-    parts = [np.unique(np.concatenate(f) if f else np.zeros(0, np.uint64), return_counts=True) for f in found]
-    h = np.union1d(parts[0][0], parts[1][0])
-    n = np.zeros((2, len(h)), np.int64)
-    for k, (own, count) in enumerate(parts):
-        n[k, np.searchsorted(h, own)] = count
-    return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n[1]), pa.array(n[0])], ["feature", "toxic", "other"])
+        own = triples[a : z - 2] if z - a > 2 else h[a:z]
+        if len(own):
+            out[k] = [textnum.mix(own ^ np.uint64(0x9E3779B97F4A7C15 * (j + 1) & (1 << 64) - 1)).min() for j in range(HASHES)]
+    return out
+
+
+def weights_of(hashes: np.ndarray) -> np.ndarray:
+    """One over the mean number of texts that share a text's least hash, in millionths."""
+    same = np.zeros(len(hashes))
+    for column in hashes.T:
+        _, back, n = np.unique(column, return_inverse=True, return_counts=True)
+        same += n[back]
+    return np.round(1e6 * hashes.shape[1] / np.maximum(same, 1)).astype(np.int64)
+
+
+def _hashed(batch: pa.RecordBatch) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([batch.column(2), batch.column(1), pa.array([x.tobytes() for x in least_hashes(batch.column(0))], pa.binary())], ["h", "label", "least"])
+
+
+def _counts(known: np.ndarray, weight: np.ndarray):
+    """Texts -> how much toxic and other texts of the batch weigh that each feature occurs in."""
+
+    def count(batch: pa.RecordBatch) -> pa.RecordBatch:
+        first, feats = token_features(batch.column(0))
+        label, own = batch.column(1).to_numpy(), weight[np.searchsorted(known, batch.column(2).to_numpy())]
+        found = [(np.zeros(0, np.uint64), 0, 0)] + [(np.unique(feats[a:z]), label[k], own[k]) for k, (a, z) in enumerate(zip(first[:-1].tolist(), first[1:].tolist(), strict=True))]
+        h, back = np.unique(np.concatenate([f[0] for f in found]), return_inverse=True)
+        n = np.zeros((2, len(h)), np.int64)
+        np.add.at(n, (np.repeat([f[1] for f in found], [len(f[0]) for f in found]), back), np.repeat([f[2] for f in found], [len(f[0]) for f in found]))
+        return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n[1]), pa.array(n[0])], ["feature", "toxic", "other"])
+
+    return count
 
 
 class Lookup:
@@ -150,7 +178,7 @@ def _tokens(keys: np.ndarray):
         at //= feats.shape[1]
         cut = np.searchsorted(at, first)
         rows = [((at[a:z] - w).astype("<i4").tobytes(), to[a:z].astype("<i4").tobytes()) for a, z, w in zip(cut[:-1].tolist(), cut[1:].tolist(), first[:-1].tolist(), strict=True)]
-        return pa.RecordBatch.from_arrays([batch.column(1), pa.array(np.diff(first)), pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.binary())], ["label", "n", "at", "feature"])
+        return pa.RecordBatch.from_arrays([batch.column(1), pa.array(np.diff(first)), pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.binary())], ["label", "n", "at", "feature"]).append_column("h", batch.column(2))
 
     return tokens
 
@@ -158,7 +186,7 @@ def _tokens(keys: np.ndarray):
 def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", most: int = PER_CLASS) -> Tagger:
     """Learn from ``most`` labelled rows of each class at most."""
     rows, given = labelled(docs, labels, label_col, id_col, text_col, most)
-    rows = written(rows, "toxic-sample")
+    rows = written(rows.select("text", "label", F.xxhash64("text").alias("h")), "toxic-sample")
     all1, all0 = given.get(1, 0), given.get(0, 0)
     size = {r.label: r["count"] for r in rows.groupBy("label").count().collect()}
     n1, n0 = size.get(1, 0), size.get(0, 0)
@@ -166,9 +194,15 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col:
     if not n1 or not n0:
         share = 1 - 1e-6 if n1 else 1e-6
         return Tagger(nothing, np.array([-10.0]), np.zeros(2), np.zeros((2, 2)), np.array([0.0, 0.0, 0.0, np.log(share / (1 - share))]))
-    counted = arrow_map(rows, _counts, "feature bigint, toxic bigint, other bigint", 0, PIECE_BYTES).groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
+    sample = arrow_map(rows, _hashed, "h bigint, label int, least binary", 0, PIECE_BYTES).collect()
+    sample.sort(key=lambda r: (r.h, r.label))
+    known = np.array([r.h for r in sample], np.int64)
+    weight = weights_of(np.stack([np.frombuffer(r.least, np.uint64) for r in sample]))
+    of_class = [int(weight[[r.label == y for r in sample]].sum()) for y in (0, 1)]
+    millionth = lambda c: (F.sum(c) / 1e6).alias(c)
+    counted = arrow_map(rows, _counts(known, weight), "feature bigint, toxic bigint, other bigint", 0, PIECE_BYTES).groupBy("feature").agg(millionth("toxic"), millionth("other"))
     # the log probability that chance deals this few of the texts to the other class; below 1 / features it isn't chance
-    share = n1 / (n1 + n0)
+    share = of_class[1] / sum(of_class)
     total = F.col("toxic") + F.col("other")
     rate = F.greatest(F.col("toxic") / total, F.lit(share))
     chance = -total * (rate * F.log(rate / share) + F.when(rate < 1, (1 - rate) * F.log((1 - rate) / (1 - share))).otherwise(0.0))
@@ -179,8 +213,8 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col:
     keys = at[order]
     sure = np.array([r.chance for r in kept])[order] < SURE
 
-    texts = arrow_map(rows, _tokens(keys), "label int, n bigint, at binary, feature binary", 0, PIECE_BYTES).collect()
-    texts.sort(key=lambda r: (r.label, r.n, bytes(r.at), bytes(r.feature)))
+    texts = arrow_map(rows, _tokens(keys), "label int, n bigint, at binary, feature binary, h bigint", 0, PIECE_BYTES).collect()
+    texts.sort(key=lambda r: (r.label, r.n, bytes(r.at), bytes(r.feature), r.h))
     pick = np.random.default_rng(11)
     chosen = [pick.permutation([k for k, r in enumerate(texts) if r.label == y and r.n])[:FIELD_TEXTS] for y in (0, 1)]
 
@@ -206,9 +240,10 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col:
         p = crf.marginals(e, heads(first), start, move)[0]
         x.append(sums(p, first))
         labels_of += [texts[k].label for k in part]
-    known = np.array(labels_of, float)
-    # rows count as in the table they are a sample of
-    tagger.link = logistic(np.concatenate(x), known, np.where(known > 0, all1 / n1, all0 / n0))
+    y = np.array(labels_of, float)
+    # rows count as in the table they are a sample of, and copies as one
+    alone = weight[np.searchsorted(known, np.array([r.h for r in texts], np.int64))] / 1e6
+    tagger.link = logistic(np.concatenate(x), y, alone * np.where(y > 0, all1 / n1, all0 / n0))
     return tagger
 
 

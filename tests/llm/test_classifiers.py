@@ -273,3 +273,21 @@ def test_kept_columns_with_clashing_names(spark):
     assert {r.lang_pred for r in out.where("doc_id < 9").collect()} == {"de"} and lang_id.identified(df.where("doc_id > 99"), None).count() == 0
     out = quality.scored(df, quality.train(df, df.select("doc_id", "quality")), keep=keep)
     assert out.columns == ["doc_id", "text", "letters", "lang_pred", "score", "predicted"] and all(0 <= r.score <= 1 for r in out.collect())
+
+
+def test_copies_of_a_toxic_text_make_none_of_its_words_toxic(spark):
+    r = random.Random(11)
+    df = toxic_table(spark)
+    base = text(r, "de", 60).split()
+    copies = []
+    for k in range(40):
+        w = list(base)
+        w[r.randrange(60)] = "edit%d" % k
+        copies.append((2000 + k, " ".join([*w, "badword"]), 1, ""))
+    clean = [(3000, " ".join(base), 0, ""), (3001, " ".join(base[10:40]), 0, "")]
+    both = df.unionByName(spark.createDataFrame(copies, df.schema))
+    model = toxicity.train(both, both.select("doc_id", "toxic"))
+    out, name = toxicity.tagged(spark.createDataFrame(copies + clean, df.schema), model)
+    assert {x.doc_id: x[name].predicted for x in out.collect()} == {**{2000 + k: 1 for k in range(40)}, 3000: 0, 3001: 0}
+    w = toxicity.weights_of(toxicity.least_hashes(pa.array([x[1] for x in copies] + ["all on its own here", "", None])))
+    assert (w[:40] < 60000).all() and w[40] == 10**6
