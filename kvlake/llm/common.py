@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import os
 import re
 import uuid
@@ -13,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 TEST_DIR = "/tmp/checkpoints"
+BATCH_BYTES = 12 << 20
 _scratch: dict[str, str] = {}
 
 
@@ -110,6 +113,20 @@ def importable(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join([root, *filter(None, paths)])
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of ``BATCH_BYTES`` at most where the session has Spark's default bound, which takes an executor hundreds of MB a task; a bound of the user's own stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key) == f"{64 << 20}b":
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
+def trim() -> None:
+    """Give freed memory back to the system, as an idle worker would keep it from the executor's other tasks."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library than glibc
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, column: int = 0, limit: int = 4 << 20) -> DataFrame:
     """``mapInArrow`` over pieces of about ``limit`` bytes of text each, so that memory is bounded by ``limit`` and the longest row."""
 
@@ -117,7 +134,8 @@ def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], sch
         for batch in batches:
             for part in pieces(batch, column, limit):
                 yield fn(part)
-            pa.default_memory_pool().release_unused()
+        trim()
 
     importable(df.sparkSession)
+    small_batches(df.sparkSession)
     return df.mapInArrow(run, schema)

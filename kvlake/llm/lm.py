@@ -28,7 +28,7 @@ from kvlake.llm import store, textnum
 from kvlake.llm.common import arrow_map, fold, scratch_dir, table, unused, written
 
 START, END = np.uint64(0x5374617274), np.uint64(0x456E64)
-SLICE_BYTES, BUCKET_TOKENS, HOT_PARTS = 12 << 20, 1 << 21, 64
+SLICE_BYTES, BUCKET_TOKENS, HOT_PARTS = 16 << 20, 1 << 21, 64  # a slice is a whole Arrow batch at most
 READ_BYTES = 256 << 20  # arrays that a worker holds where they can't be mapped
 SAMPLE, OFTEN = 64, 2000  # a context with more than 1 / OFTEN of the tokens of 1 / SAMPLE of the texts is dealt by both words
 _SPREAD = np.uint64(0xD1B54A32D192ED03)
