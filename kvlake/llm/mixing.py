@@ -82,7 +82,7 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     x = x.join(cuts, F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
     clear = F.col("cut").isNull() | (F.col("bin") != F.col("cut"))
     # a document on the border is taken if that brings the sum nearer to the target. Sums run over the parts first, then in each
-    edge, one = x.where(~clear), ["source", "rank", "id", "tie"]
+    edge, one = written(x.where(~clear), "mix-edge"), ["source", "rank", "id", "tie"]
     upto = lambda by, order: F.sum("size").over(Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
     parts = edge.groupBy(*one).agg(F.sum("size").alias("size")).withColumn("ahead", upto(["source"], ["rank", "id", "tie"]) - F.col("size"))
     parts = parts.select(*[F.col(c).alias("part_" + c) for c in one], "ahead")
