@@ -21,14 +21,15 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, GroupedData, SparkSession
 from pyspark.sql import functions as F
 
 from kvlake.llm import store, textnum
-from kvlake.llm.common import arrow_map, fold, scratch_dir, table, unused, written
+from kvlake.llm.common import arrow_map, fold, fresh, scratch_dir, table, unused, written
 
 START, END = np.uint64(0x5374617274), np.uint64(0x456E64)
 SLICE_BYTES, BUCKET_TOKENS, HOT_PARTS = 16 << 20, 1 << 21, 64  # a slice is a whole Arrow batch at most
+PLACES = 1 << 14  # partitions that buckets are dealt to at most, unless the session has more
 READ_BYTES = 256 << 20  # arrays that a worker holds where they can't be mapped
 SAMPLE, OFTEN = 64, 2000  # a context with more than 1 / OFTEN of the tokens of 1 / SAMPLE of the texts is dealt by both words
 _SPREAD = np.uint64(0xD1B54A32D192ED03)
@@ -103,7 +104,7 @@ def _merge(path: str, often: np.ndarray, words_n: int):
     """One bucket's bigrams -> files, and rows (part, kind, words, counts, contexts) for the next step."""
 
     def merge(key: tuple, group: pa.Table) -> pa.Table:
-        bucket = key[0].as_py()
+        bucket = key[1].as_py()
         get = lambda c, t: np.frombuffer(b"".join(group.column(c).to_pylist()), t)
         context = np.repeat(get("context", np.uint64), get("run", "<u4").astype(np.int64))
         word, times = get("word", np.uint64), get("times", np.uint8)
@@ -166,7 +167,7 @@ def _merge_words(path: str):
     """One part of the words -> files, and a row of figures; part -1 passes on the buckets' figures, those below it sum up contexts that lie in several buckets."""
 
     def merge(key: tuple, group: pa.Table) -> pa.Table:
-        part = key[0].as_py()
+        part = key[1].as_py()
         names = ["part", "context", "figures"]
         if part == -1:
             counts = np.stack([np.frombuffer(x, np.int64) for x in group.column("contexts").to_pylist()])
@@ -288,6 +289,17 @@ class Model:
         return np.log10(p), base[back], count[back]
 
 
+def _dealt(rows: DataFrame, number: str, n: int) -> GroupedData:
+    """``rows`` grouped by ``number`` (``n`` of them) and dealt to partitions by it, one each up to ``PLACES`` or the session's shuffle partitions.
+
+    By hash, some partitions would get several groups while others get none.
+    """
+    places = min(n, max(PLACES, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    place = fresh(rows, "place")
+    rows = rows.withColumn(place, F.pmod(number, F.lit(places)).cast("int"))
+    return rows.repartitionById(places, place).groupBy(place, number)
+
+
 def train(docs: DataFrame, text_col: str = "text", path: str | None = None) -> Model:
     """Count the texts of ``docs`` and write the model below ``path`` (default: a new folder of the shared one)."""
     spark = docs.sparkSession
@@ -310,8 +322,8 @@ def train(docs: DataFrame, text_col: str = "text", path: str | None = None) -> M
     parts = buckets
 
     counted = arrow_map(texts, _slices(often, buckets), "bucket bigint, context binary, run binary, word binary, times binary", 0, SLICE_BYTES)
-    merged = counted.groupBy("bucket").applyInArrow(_merge(path, often, parts), "part bigint, word binary, times binary, contexts binary")
-    figures = merged.groupBy("part").applyInArrow(_merge_words(path), "part bigint, context bigint, figures array<bigint>").collect()
+    merged = _dealt(counted, "bucket", buckets).applyInArrow(_merge(path, often, parts), "part bigint, word binary, times binary, contexts binary")
+    figures = _dealt(merged, "part", parts).applyInArrow(_merge_words(path), "part bigint, context bigint, figures array<bigint>").collect()
     hot = {int(np.int64(r.context).view(np.uint64)): r.figures for r in figures if r.part < -1}
     counts = next((r.figures for r in figures if r.part == -1), [0] * 4)
     total = np.array([r.figures for r in figures if r.part >= 0], np.int64).reshape(-1, 7).sum(axis=0).tolist()
