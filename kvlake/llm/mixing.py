@@ -5,12 +5,13 @@ holds on average. Its whole part is allocated as certain copies. The rest is an
 a document with inclusion probability p and a uniform u ranks at ``(u / (1 - u)) / (p / (1 - p))`` (Rosen's
 Pareto order sampling) and the source takes documents in rank order up to the fixed size in words that is
 still open. The cut is found by two histograms of the ranks, so no task ever sorts a whole source; a source with
-nothing open (one at its bound) has no cut. Rows of one rank (null or repeated ids) are cut in ``TIES`` parts, one after
-the other. The windows over sources run over one row a source in one task.
+nothing open (one at its bound) has no cut. Rows of one rank (null or repeated ids) are cut in ``TIES`` parts by their
+text's hash, one after the other, and rows of one text in as many by their place in the input: only rows that don't differ
+change places between reruns. The windows over sources run over one row a source in one task.
 
 Defined results: null texts have size 0 and are never repeated in words; a null source is a source of its
 own, last in order; sources of size 0 have target 0; rows that repeat an id have the same rank and are cut one
-after the other; extra columns of the input are not looked at; an empty table gives an empty result.
+after the other, in an order that their texts decide; extra columns of the input are not looked at; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -53,7 +54,8 @@ def source_targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: i
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, most: int = MOST_COPIES, seed: str = "mix-1") -> DataFrame:
     """One row a document: id, source, size, source_size, target, copies (0 to ``most``), taken = size * copies."""
-    sized = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.coalesce(F.regexp_count(text_col, F.lit(WORDS)), F.lit(0)).cast("long").alias("size"), F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(TIES)).alias("tie"))
+    sized = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.coalesce(F.regexp_count(text_col, F.lit(WORDS)), F.lit(0)).cast("long").alias("size"), F.xxhash64(text_col).alias("hash"), F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(TIES)).alias("salt"))
+    sized = sized.withColumn("tie", F.pmod(F.xxhash64("hash"), F.lit(TIES)))
     sized = written(sized, "mix-sizes")
     sources = written(source_targets(sized, weights, most), "mix-sources").withColumnRenamed("source", "s")
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
@@ -81,15 +83,21 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
 
     x = x.join(cuts, F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
     clear = F.col("cut").isNull() | (F.col("bin") != F.col("cut"))
-    # a document on the border is taken if that brings the sum nearer to the target. Sums run over the parts first, then in each
-    edge, one = written(x.where(~clear), "mix-edge"), ["source", "rank", "id", "tie"]
-    upto = lambda by, order: F.sum("size").over(Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    parts = edge.groupBy(*one).agg(F.sum("size").alias("size")).withColumn("ahead", upto(["source"], ["rank", "id", "tie"]) - F.col("size"))
-    parts = parts.select(*[F.col(c).alias("part_" + c) for c in one], "ahead")
-    same = F.lit(True)
-    for c in one:
-        same &= F.col(c).eqNullSafe(F.col("part_" + c))
-    edge = edge.join(parts, same).withColumn("extra", F.col("before") + F.col("ahead") + upto(one, ["size"]) - F.col("size") / 2 <= F.col("rest"))
+    # a document on the border is taken if that brings the sum nearer to the target. Sums run over parts of the rows of one rank
+    # and id, then over equal texts and their salts in each part, then over rows that don't differ
+    def ahead(rows: DataFrame, by: list[str], order: list[str], name: str) -> DataFrame:
+        groups = rows.groupBy(*by, *order).agg(F.sum("size").alias("total"))
+        before = F.sum("total").over(Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+        groups = groups.select(*[F.col(c).alias("part_" + c) for c in by + order], F.coalesce(before, F.lit(0)).alias(name))
+        same = F.lit(True)
+        for c in by + order:
+            same &= F.col(c).eqNullSafe(F.col("part_" + c))
+        return rows.join(groups, same).select(*rows.columns, name)
+
+    edge, one, cell = written(x.where(~clear), "mix-edge"), ["source", "rank", "id", "tie"], ["size", "hash", "salt"]
+    edge = ahead(ahead(edge, one[:1], one[1:], "parts"), one, cell, "cells")
+    own = F.sum("size").over(Window.partitionBy(*one, *cell).orderBy("size").rowsBetween(Window.unboundedPreceding, 0))
+    edge = edge.withColumn("extra", F.col("before") + F.col("parts") + F.col("cells") + own - F.col("size") / 2 <= F.col("rest"))
     edge = edge.select(*x.columns, "extra")
     sure = x.where(clear).withColumn("extra", F.col("cut").isNull() | (F.col("bin") < F.col("cut")))
     out = sure.unionByName(edge)

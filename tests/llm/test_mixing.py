@@ -59,3 +59,11 @@ def test_capped_source_and_rows_without_an_id(spark):
     assert sorted({r.copies for r in got if r.doc_id is None}) in ([0, 1], [1, 2], [1], [2], [0])
     sized = spark.createDataFrame(rows, SCHEMA).select(F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(mixing.TIES)).alias("tie"))
     assert max(r["count"] for r in sized.groupBy("tie").count().collect()) < len(rows) / 40
+
+
+def test_reruns_agree_on_repeated_ids(spark):
+    """Rows of one rank are cut in an order that their texts decide, however the input is dealt."""
+    rows = docs({"a": 40, "b": 60}, 9) + [(None, " ".join(["w"] * (1 + k % 97)), "c", "") for k in range(700)] + [(7, " ".join(["v"] * (1 + k % 31)), "b", "") for k in range(300)]
+    runs = [sorted((repr((r.doc_id, r.source, r["size"], r.copies)) for r in mixing.mixed(spark.createDataFrame(rows[::step], SCHEMA).repartition(n)).collect())) for n, step in ((1, 1), (3, -1), (7, 1))]
+    assert runs[0] == runs[1] == runs[2]
+    assert len({repr(x) for x in runs[0]}) > 100
