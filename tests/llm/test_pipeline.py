@@ -1,6 +1,8 @@
 import os
+import random
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline as cp
 from kvlake.llm import decontaminate, near_dedup, toxicity
@@ -64,3 +66,23 @@ def test_each_stage_on_its_own_input(spark, tmp_path):
                 own = [r for r in after.values() if r.source == s]
                 assert abs(sum(r.taken for r in own) - own[0].target) <= max(r["size"] for r in own)
         docs = out
+
+
+@pytest.mark.parametrize("every", [2, 3])
+def test_toxic_documents_go_where_labels_are_toxic_as_often_as_not(spark, tmp_path, every):
+    """Half of the labels or two thirds of them are toxic, as in a sample of a large table, whose classes are cut to one size."""
+    r = random.Random(7)
+    words = ["".join(r.choice("aeioulmnrst") for _ in range(7)) for _ in range(300)]
+    rows = []
+    for i in range(600):
+        t = r.choices(words, k=r.randint(5, 60))
+        toxic = i % every != 0
+        for _ in range(3 * toxic):
+            t.insert(r.randrange(len(t)), r.choice(["badword", "vilest", "awful"]))
+        rows.append((i, " ".join(t), int(toxic)))
+    both = spark.createDataFrame(rows, "doc_id long, text string, toxic int").withColumn("n_chars", F.length("text").cast("long"))
+    both.where("doc_id < 400").select("doc_id", "toxic").write.parquet(f"{tmp_path}/labels.parquet")
+    left = {x.doc_id for x in cp.drop_toxic(spark, both.drop("toxic"), str(tmp_path)).collect()}
+    for toxic in (0, 1):
+        own = [i in left for i, _, y in rows if y == toxic]
+        assert sum(k != toxic for k in own) > 0.95 * len(own)
