@@ -5,6 +5,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from kvlake.llm import crf, lang_id, quality, toxicity
@@ -291,3 +292,16 @@ def test_copies_of_a_toxic_text_make_none_of_its_words_toxic(spark):
     assert {x.doc_id: x[name].predicted for x in out.collect()} == {**{2000 + k: 1 for k in range(40)}, 3000: 0, 3001: 0}
     w = toxicity.weights_of(toxicity.least_hashes(pa.array([x[1] for x in copies] + ["all on its own here", "", None])))
     assert (w[:40] < 60000).all() and w[40] == 10**6
+
+
+@pytest.mark.parametrize("clean", [(1,), (1, 5), (1, 3, 5)])
+def test_toxic_words_are_learned_whatever_the_share_of_toxic_labels(spark, clean):
+    """With as many labelled toxic texts as others, or twice as many, no feature could be frequent enough."""
+    df = toxic_table(spark)
+    labels = df.where("doc_id < 400").where((F.col("toxic") == 1) | (F.col("doc_id") % 8).isin(*clean)).select("doc_id", "toxic")
+    model = toxicity.train(df, labels)
+    out, name = toxicity.tagged(df.where("doc_id >= 400"), model, text="keep")
+    rows = out.collect()
+    assert len(model.lookup.keys)
+    for y in (0, 1):
+        assert np.mean([x[name].predicted == y for x in rows if x.toxic == y]) > 0.95
